@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from graphloom.llm import op01_decontaminate as op1
+from graphloom.llm import op03_quality as op3
 from graphloom.llm import op10_simhash_dedup as op10
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_decontaminate": op1.query,
+        "op3_quality": op3.query,
         "op10_simhash_dedup": op10.query,
     }
 
