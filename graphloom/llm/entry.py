@@ -9,6 +9,7 @@ from graphloom.llm import op03_quality as op3
 from graphloom.llm import op07_secrets as op7
 from graphloom.llm import op04_token_counts as op4
 from graphloom.llm import op09_bpe as op9
+from graphloom.llm import op06_token_binary as op6
 from graphloom.llm import op10_simhash_dedup as op10
 
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op7_secrets": op7.query,
         "op4_token_counts": op4.query,
         "op9_bpe": op9.query,
+        "op6_token_binary": op6.query,
         "op10_simhash_dedup": op10.query,
     }
 
