@@ -11,6 +11,7 @@ from graphloom.llm import op04_token_counts as op4
 from graphloom.llm import op09_bpe as op9
 from graphloom.llm import op06_token_binary as op6
 from graphloom.llm import op05_kd_shards as op5
+from graphloom.llm import op08_transport_stream as op8
 from graphloom.llm import op10_simhash_dedup as op10
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable]:
         "op9_bpe": op9.query,
         "op6_token_binary": op6.query,
         "op5_kd_shards": op5.query,
+        "op8_transport_stream": op8.query,
         "op10_simhash_dedup": op10.query,
     }
 
