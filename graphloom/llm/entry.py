@@ -12,6 +12,7 @@ from graphloom.llm import op09_bpe as op9
 from graphloom.llm import op06_token_binary as op6
 from graphloom.llm import op05_kd_shards as op5
 from graphloom.llm import op08_transport_stream as op8
+from graphloom.llm import op02_chat_format as op2
 from graphloom.llm import op10_simhash_dedup as op10
 
 
@@ -25,9 +26,10 @@ def queries() -> dict[str, Callable]:
         "op6_token_binary": op6.query,
         "op5_kd_shards": op5.query,
         "op8_transport_stream": op8.query,
+        "op2_chat_format": op2.query,
         "op10_simhash_dedup": op10.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": op2.SQL}
