@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from graphloom.llm import op01_decontaminate as op1
 from graphloom.llm import op03_quality as op3
 from graphloom.llm import op07_secrets as op7
@@ -18,6 +19,7 @@ from graphloom.llm import op10_simhash_dedup as op10
 
 def queries() -> dict[str, Callable]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_decontaminate": op1.query,
         "op3_quality": op3.query,
         "op7_secrets": op7.query,
