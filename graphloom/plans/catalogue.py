@@ -99,9 +99,9 @@ def children_of(spark, d):
     return G.children(n, n.where("kind = 'type_def'")).select("id", "parent_id", "name")
 
 
-@query("SELECT c.id, p.id AS parent_id FROM n c LEFT JOIN n p ON c.parent_id = p.id")
+@query("SELECT c.id, coalesce(p.id, -1) AS parent_id FROM n c LEFT JOIN n p ON c.parent_id = p.id")
 def parent_of(spark, d):
-    return G.parents(A.nodes(spark, d))
+    return G.parents(A.nodes(spark, d)).fillna(-1, ["parent_id"])
 
 
 @query("SELECT source_id, target_id, edge_id FROM e WHERE source_id IN (SELECT id FROM n WHERE kind = 'function')")
@@ -164,9 +164,9 @@ def is_descendant_of(spark, d):
 _OWNER = "WITH RECURSIVE w AS (SELECT id, id AS here, kind, parent_id FROM n UNION ALL SELECT w.id, p.id, p.kind, p.parent_id FROM w JOIN n p ON w.parent_id = p.id WHERE w.kind <> 'file'), o AS (SELECT id, max(CASE WHEN kind = 'file' THEN here END) AS owner FROM w GROUP BY id)"
 
 
-@query(_OWNER + " SELECT id, owner FROM o")
+@query(_OWNER + " SELECT id, coalesce(owner, -1) AS owner FROM o")
 def owning_file(spark, d):
-    return G.owning(A.nodes(spark, d))
+    return G.owning(A.nodes(spark, d)).fillna(-1, ["owner"])
 
 
 _SUMMARY = _OWNER + ", f AS (SELECT o.id, o.owner, coalesce(n.name, '<ext>') AS f FROM o LEFT JOIN n ON o.owner = n.id), s AS (SELECT a.f AS src_file, b.f AS tgt_file, edge_type, count(*) AS n FROM e JOIN f a ON e.source_id = a.id JOIN f b ON e.target_id = b.id WHERE a.owner IS DISTINCT FROM b.owner GROUP BY 1, 2, 3)"
@@ -453,10 +453,10 @@ def jsonl_edges(spark, d):
     return jsonl.edge_lines(A.edges(spark, d)).select("edge_id", "line")
 
 
-@query("WITH m AS (SELECT max(id) + 1 AS k FROM n ) SELECT id, parent_id, name FROM n UNION ALL SELECT n.id + k, n.parent_id + k, n.name FROM n , m")
+@query("WITH m AS (SELECT max(id) + 1 AS k FROM n ) SELECT id, coalesce(parent_id, -1) AS parent_id, name FROM n UNION ALL SELECT n.id + k, coalesce(n.parent_id + k, -1), n.name FROM n , m")
 def append_union_remap(spark, d):
     n, e = A.nodes(spark, d), A.edges(spark, d)
-    return G.append((n, e), (n, e))[0].select("id", "parent_id", "name")
+    return G.append((n, e), (n, e))[0].select("id", "parent_id", "name").fillna(-1, ["parent_id"])
 
 
 @query()
