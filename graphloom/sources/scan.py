@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def scan_directory(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()
     """(rel_path, basename, content, content_hash, language, readable) of registered files below root.
 
     A file of more than 10 MiB is listed with readable false and without content; the length is filtered by the
-    source, so its bytes are never read.
+    source, so its bytes are never read.  The source passes over empty files, so those come from its listing.
     """
     root = root.rstrip("/")
     path = root if "://" in root else f"file://{root}"
@@ -26,12 +28,14 @@ def scan_directory(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()
     names = [*exclude, *sorted({d for x in LANGUAGES.values() for d in x.excluded_dirs})]
     languages = F.create_map(*[F.lit(x) for e, k in LANGUAGES.items() for x in (e, k.name)])
 
-    def shaped(df: DataFrame, readable: bool) -> DataFrame:
-        content = F.col("content") if readable else F.lit(None).cast("binary")
+    def shaped(df: DataFrame, readable: bool, content=None) -> DataFrame:
+        content = F.lit(None).cast("binary") if content is None else content
         one = df.select(plain.alias("_p"), F.lit(root.removeprefix("file://")).alias("_r"), content.alias("content")).select(rel.alias("rel_path"), "content")
         return one.where(~excluded("rel_path", names)).withColumn("language", F.element_at(languages, extension("rel_path"))).where("language is not null").withColumn("readable", F.lit(readable))
 
-    found = shaped(files.where(F.col("length") <= LARGEST), True).unionByName(shaped(files.where(F.col("length") > LARGEST), False))
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string").select(plain.alias("path"))
+    empty = listed.join(files.select(plain.alias("path")), "path", "left_anti")
+    found = shaped(files.where(F.col("length") <= LARGEST), True, F.col("content")).unionByName(shaped(files.where(F.col("length") > LARGEST), False)).unionByName(shaped(empty, True, F.lit(b"")))
     return found.select("rel_path", basename("rel_path").alias("basename"), "content", content_hash("content").alias("content_hash"), "language", "readable")
 
 

@@ -69,7 +69,10 @@ def index_incrementally(spark: SparkSession, root: str, state: str, exclude: tup
 
 
 def watch(spark: SparkSession, root: str, state: str, checkpoint: str, once: bool = True):
-    """A streaming query that brings the state up to date with files as they arrive or change under root."""
+    """A streaming query that brings the state up to date with files as they arrive or change under root.
+
+    The streaming file source passes over empty files; update() with a scan has them.
+    """
     from pyspark.sql import functions as F
 
     from graphloom.functions.text import basename, content_hash, excluded, extension
