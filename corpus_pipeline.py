@@ -16,7 +16,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.checkpoints import shared_dir
+from graphloom.checkpoints import discard, shared_dir
 from graphloom.llm import op01_decontaminate, op03_quality, op07_secrets, op09_bpe, op10_simhash_dedup
 
 STAGES = [
@@ -32,11 +32,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, over the whole of documents."""
+    """The rows of the last stage, over the whole of documents; a stage's table goes once the next is written."""
     folder = f"{shared_dir(spark)}/graphloom/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            discard(docs)
         docs = spark.read.parquet(path)
     return docs
