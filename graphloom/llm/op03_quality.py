@@ -37,12 +37,18 @@ def _distinct(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     """(distinct values, most repeats of one value) of each row."""
     if not len(h):
         return np.zeros(n), np.zeros(n)
-    by = np.lexsort((h, row))
-    r, v = row[by], h[by]
-    start = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1])))
+    key = np.sort(tb.row_keys(h, row))
+    start = tb.firsts(key)
+    own = (key[start] >> np.uint64(44)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     most = np.zeros(n)
-    np.maximum.at(most, r[start], np.diff(np.append(start, len(r))))
-    return np.bincount(r[start], minlength=n).astype(float), most
+    most[own[first]] = np.maximum.reduceat(np.diff(np.append(start, len(key))), first)
+    return np.bincount(own, minlength=n).astype(float), most
+
+
+def _per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of a row's bytes are set, by the places of those that are."""
+    return np.diff(np.searchsorted(np.flatnonzero(mask), offsets))
 
 
 def statistics(texts: pa.Array, lexicon: tb.Keys) -> np.ndarray:
@@ -50,7 +56,9 @@ def statistics(texts: pa.Array, lexicon: tb.Keys) -> np.ndarray:
     out = np.zeros((len(texts), FEATURES))
     for s, plain in zip(tb.text_slices(texts), _same_rows(texts)):
         n = len(s.offsets) - 1
-        kinds = np.stack([np.diff(np.concatenate([[0], np.cumsum(_KIND[plain.data] == k, dtype=np.int64)])[plain.offsets]) for k in range(8)], axis=1).astype(float)
+        kind = _KIND[plain.data]
+        other = [_per_row(kind == k, plain.offsets) for k in range(1, 8)]
+        kinds = np.stack([np.diff(plain.offsets) - sum(other), *other], axis=1).astype(float)
         size = np.maximum(np.diff(plain.offsets), 1)
         w = tb.words(s)
         count = np.diff(w.first).astype(float)
@@ -66,7 +74,7 @@ def statistics(texts: pa.Array, lexicon: tb.Keys) -> np.ndarray:
         lines, top_line = _distinct(tb.span_hash(s.data, starts[full], ends[full]), line_row, n)
         n_lines = np.maximum(np.bincount(line_row, minlength=n), 1)
         bad = np.bincount(w.row[lexicon.find(w.hash)[0]], minlength=n)
-        marks = lambda c: np.diff(np.concatenate([[0], np.cumsum(plain.data == c)])[plain.offsets])
+        marks = lambda c: _per_row(plain.data == c, plain.offsets)
         long = np.bincount(w.row, (w.end - w.start) >= 12, n)
         x = [np.log1p(size), np.log1p(count), *(kinds / size[:, None]).T, kinds[:, 1] / np.maximum(kinds[:, :2].sum(axis=1), 1), kinds[:, 4] / some, marks(124) / some, marks(33) / some, words / some, top_word / some, two / np.maximum(count - 1, 1), top_pair / np.maximum(count - 1, 1), lines / n_lines, top_line / n_lines, long / some, np.log1p(bad), bad / some, kinds[:, 2] / some]
         out[s.first : s.first + n] = np.stack(x, axis=1)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from graphloom.llm import textbytes as tb
 
 BITS = 128
-_CHUNK = 1 << 15
+_BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -23,35 +23,30 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         w = tb.words(s)
         if not len(w.hash):
             continue
-        order = np.lexsort((w.hash, w.row)) if len(s.offsets) > 2 else np.argsort(w.hash)
-        row, h = w.row[order], w.hash[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        at = order[new]
-        row, h = row[new], h[new]
-        weight = np.minimum(w.end[at] - w.start[at], 12).astype(np.int8)
-        first = np.searchsorted(row, np.arange(len(s.offsets)))
-        total = row_bits(h, weight, first)
-        n = np.diff(first)
+        key = tb.row_keys(w.hash, w.row)
+        order = np.argsort(key)
+        at = order[tb.firsts(key[order])]
+        row, n = w.row[at], len(s.offsets) - 1
+        total = row_bits(w.hash[at], np.minimum(w.end[at] - w.start[at], 12).astype(np.float64), row, n)
+        have = np.bincount(row, minlength=n)
         bits = np.packbits(total > 0, axis=1).view(np.uint64)
-        bits[n == 0] = 0
-        out[s.first : s.first + len(n)] = bits
-        counts[s.first : s.first + len(n)] = n
+        bits[have == 0] = 0
+        out[s.first : s.first + n] = bits
+        counts[s.first : s.first + n] = have
     return out, counts
 
 
-def row_bits(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per row and bit, the weight of features with that bit less the weight of those without."""
-    total = np.zeros((len(first) - 1, BITS), np.int32)
-    for a in range(0, len(h), _CHUNK):
-        b = min(a + _CHUNK, len(h))
-        both = np.stack([h[a:b], tb.mix(h[a:b] ^ np.uint64(0x5851F42D4C957F2D))], axis=1)
-        on = np.unpackbits(both.view(np.uint8).reshape(b - a, 16), axis=1)
-        signed = (on.astype(np.int8) * 2 - 1) * weight[a:b, None]
-        lo, hi = np.searchsorted(first, a, side="right") - 1, np.searchsorted(first, b, side="left")
-        cut = np.clip(first[lo : hi + 1], a, b) - a
-        total[lo:hi] += tb.row_sums(signed, cut).astype(np.int32)
-    return total
+def row_bits(h: np.ndarray, weight: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Per row and bit, the weight of features with that bit less the weight of those without.
+
+    Weights are first summed by the value of each of a hash's bytes, and those sums then spread over the
+    byte's bits by one small matrix product.  Sums of small integers, so exact.
+    """
+    both = np.stack([h, tb.mix(h ^ np.uint64(0x5851F42D4C957F2D))], axis=1).view(np.uint8).reshape(len(h), 16)
+    at, out = row * 256, np.empty((n, 16, 8))
+    for k in range(16):
+        out[:, k] = np.bincount(at + both[:, k], weight, n * 256).reshape(n, 256) @ _BITS_OF
+    return 2 * out.reshape(n, BITS) - np.bincount(row, weight, n)[:, None]
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

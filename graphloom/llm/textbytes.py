@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+SLICE_ROWS = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
+_SUMS = np.zeros(1, np.uint64)  # kept, as fresh pages cost more than the sums; the first stays 0
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -77,7 +79,7 @@ def slices(data: np.ndarray, offsets: np.ndarray, target: int = SLICE_BYTES) ->
     n, a = len(offsets) - 1, 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + target, side="right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), n, a + SLICE_ROWS)
         yield Slice(a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         a = b
 
@@ -103,11 +105,15 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     """64-bit hashes of non-empty byte spans, the same wherever the bytes stand."""
     if len(start) == 0:
         return np.zeros(0, np.uint64)
+    global _SUMS
     power, inverse = _powers(len(data) + 1)
+    if len(_SUMS) < len(power) + 1:
+        _SUMS = np.zeros(len(power) + 1, np.uint64)
+    total, terms = _SUMS[: len(data) + 1], _SUMS[1 : len(data) + 1]
     with np.errstate(over="ignore"):
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_TABLE[data] * power[: len(data)], out=total[1:])
+        np.take(_TABLE, data, out=terms, mode="clip")
+        np.multiply(terms, power[: len(data)], out=terms)
+        np.cumsum(terms, out=terms)
         h = (total[end] - total[start]) * inverse[start]
         return mix(h + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -116,7 +122,7 @@ def words(s: Slice, hashes: bool = True) -> Words:
     """Maximal runs of ASCII letters, digits and non-ASCII bytes, row by row."""
     n = len(s.data)
     is_word = np.zeros(n + 2, np.int8)
-    is_word[1:-1] = WORD_BYTE[s.data]
+    np.take(WORD_BYTE, s.data, out=is_word[1:-1].view(bool), mode="clip")
     flips = np.diff(is_word)
     start, end = np.flatnonzero(flips == 1), np.flatnonzero(flips == -1)
     inner = s.offsets[1:-1]
@@ -143,13 +149,18 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), at
 
 
-def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums over values[first[i]:first[i + 1]] along axis 0; 0 for empty rows."""
-    out = np.zeros((len(first) - 1, *values.shape[1:]), np.int64 if values.dtype.kind in "biu" else np.float64)
-    full = np.flatnonzero(first[1:] > first[:-1])
-    if len(full):
-        out[full] = np.add.reduceat(values, first[full], axis=0, dtype=out.dtype)
-    return out
+def row_keys(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One key of (row, hash): 20 bits of the row and 44 of the hash, so that a sort is one of plain integers.
+
+    Rows of a slice are at most 2**20; of a million distinct words in a row, 0.03 pairs are expected to share
+    their 44 bits.
+    """
+    return row.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)
+
+
+def firsts(key: np.ndarray) -> np.ndarray:
+    """Indices at which a sorted array's value changes, 0 included."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
 class Keys:
