@@ -38,7 +38,7 @@ from graphloom.llm import simbits
 from graphloom.llm import textbytes as tb
 from graphloom.llm.components import components
 
-RADIUS, RATIO, PARTS, BLOCK = 20, 0.8, 8, 400_000
+RADIUS, RATIO, PARTS, BLOCK = 22, 0.8, 8, 400_000
 WIDTH = simbits.BITS // PARTS
 DIRECT = 1500  # rows up to which a block compares every pair
 _PAIRS = 1 << 21  # pairs handled at a time
