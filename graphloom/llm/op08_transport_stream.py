@@ -4,14 +4,13 @@ For each value of a binary column: the program association and map tables are pa
 CRC are left out), continuity counters are checked for every PID, elementary packets are put together again
 from the payloads of their transport packets, and each comes back with its timestamps and whether it is a
 random-access point.  A stream that begins in the middle of a packet is read from the first offset at which
-most sync bytes stand; packets without one are skipped and count as an error.
+most sync bytes stand; packets without one are skipped, and show as a gap in their PID.
 
 Per value all transport packets are handled at once on numpy arrays; nothing is shuffled.
 
 Defined results.  Null, empty and unreadable values give no rows.  A packet repeated once (same counter and
 bytes) is dropped, as the standard allows.  A gap in a PID's counter makes the elementary packet in which it
-falls incomplete, and so does a declared length that isn't reached, or a stream that ends inside it where no
-length is declared only if its last transport packet is missing.  Streams in no program map are not returned.
+falls incomplete, and so does a declared length that isn't reached.  Streams in no program map are not returned.
 Rows that repeat are read each.  Empty table: empty result.  Other columns are not read.
 """
 
