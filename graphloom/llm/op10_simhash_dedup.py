@@ -38,7 +38,7 @@ from graphloom.llm import simbits
 from graphloom.llm import textbytes as tb
 from graphloom.llm.components import components
 
-RADIUS, RATIO, PARTS, BLOCK = 22, 0.8, 8, 400_000
+RADIUS, RATIO, PARTS, BLOCK, BROADCAST_IDS = 22, 0.8, 8, 400_000, 4_000_000
 WIDTH = simbits.BITS // PARTS
 DIRECT = 1500  # rows up to which a block compares every pair
 _PAIRS = 1 << 21  # pairs handled at a time
@@ -302,9 +302,14 @@ def blocks(reps: DataFrame, chunks: dict[int, int]) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the duplicates; every other row, and the columns, as they were."""
-    gone = duplicates(docs).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs without the duplicates; every other row, and the columns, as they were.
+
+    The ids that go are counted once written: up to ``BROADCAST_IDS`` of them are broadcast, so that no text is
+    shuffled; more are joined by a shuffle that can spill.
+    """
+    gone = cut(duplicates(docs).select(F.col("doc_id").alias("_gone")))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
