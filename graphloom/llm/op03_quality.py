@@ -93,15 +93,19 @@ def lexicon_of(texts: pa.Array, toxic: np.ndarray) -> tb.Keys:
     hashes, rows = [], []
     for s in tb.text_slices(texts):
         w = tb.words(s)
-        hashes.append(w.hash)
-        rows.append(w.row + s.first)
+        key = tb.row_keys(w.hash, w.row)
+        order = np.argsort(key)
+        at = order[tb.firsts(key[order])]  # each word of a document once
+        hashes.append(w.hash[at])
+        rows.append((w.row[at] + s.first).astype(np.int32))
     if not hashes or not toxic.any():
         return tb.Keys(np.zeros(0, np.uint64))
     h, r = np.concatenate(hashes), np.concatenate(rows)
-    by = np.lexsort((r, h))
+    del hashes, rows
+    if not len(h):
+        return tb.Keys(h)
+    by = np.argsort(h)
     h, r = h[by], r[by]
-    new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))
-    h, r = h[new], r[new]
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     docs, bad = np.diff(np.append(start, len(h))), np.add.reduceat(toxic[r].astype(np.int64), start)
     expected = docs * toxic.mean()

@@ -94,3 +94,10 @@ def test_without_labels_of_both_kinds_everything_stays(spark, given):
 def test_a_document_labelled_twice_takes_the_worse_label(spark):
     got = op.sample(docs(spark, ["a"]), labels(spark, [(0, 1, 0, "t"), (0, 0, 1, "t")])).to_pylist()
     assert [(r["_q"], r["_t"]) for r in got] == [(0, 1)]
+
+
+def test_labels_of_texts_without_words(spark):
+    table = docs(spark, ["", "!!", None, "a b c d e f g h"])
+    model = op.train(table, labels(spark, [(0, 0, 1, "t"), (1, 0, 1, "t"), (2, 0, 1, "t"), (3, 1, 0, "t")]))
+    assert op.scored(table, model, 0.0).count() == 4
+    assert len(op.lexicon_of(pa.array(["", "!!"]), np.array([True, True])).sorted) == 0
