@@ -57,3 +57,26 @@ def test_a_table_without_source_or_n_chars(spark):
 def test_a_forest_of_other_findings_can_be_used(spark):
     forest = op.train([(KEY, "", "", "", 0), ("ok-ok-ok-ok-ok-ok1", "", "", "", 1)] * 50)
     assert op.findings(docs(spark, [f'token = "{KEY}"']), forest=forest).count() == 0
+
+
+def test_values_after_secret_names_are_found_whatever_their_length_and_characters(spark):
+    secret = {
+        'password = "Tr0ub4dor&3!xK9pQ"': "Tr0ub4dor&3!xK9pQ", '"password": "hunter2hunter2"': "hunter2hunter2", 'passphrase: "correct horse battery staple"': "correct horse battery staple", 'api_key = "QwErTyUiOpAsDfGhJkLz"': "QwErTyUiOpAsDfGhJkLz", "DB_PASSWORD=S3cr!tPw": "S3cr!tPw",
+        'contraseña: "árbol99Verde!"': "árbol99Verde!", "https://admin:pa$$W0rd!@db.host/x": "pa$$W0rd!", "mysql --password Zx9!kkTq": "Zx9!kkTq", "<password>Winter2024!</password>": "Winter2024!", "Authorization: Bearer qWErtYuiOPasDFghJKlzXC": "qWErtYuiOPasDFghJKlzXC",
+        "password for the admin account is gR7#pLw2": "gR7#pLw2", "Server=db;Password=gR7#pLw2x;User=bob": "gR7#pLw2x",
+    }
+    plain = ["token = get_token()", "the key features of the product", "session started yesterday", 'password: "Enter your password"', 'api_key = "<your-api-key>"', "password = None", 'key = "first_name"', "author: Johnson", "password = ${DB_PASSWORD}", "max_tokens: 100000", "-" * 40, "Donaudampfschifffahrtsgesellschaft"]
+    texts = [*secret, *plain, None, ""]
+    table = docs(spark, texts)
+    got = {r["doc_id"]: texts[r["doc_id"]].encode()[r["first"] : r["first"] + r["size"]].decode() for r in op.findings(table).collect()}
+    assert got == dict(enumerate(secret.values()))
+    done = {r["doc_id"]: r["text"] for r in op.redact(table).collect()}
+    assert done == {k: t and t.replace(secret.get(t, "\0"), "[SECRET]") for k, t in enumerate(texts)}
+
+
+def test_every_labelled_secret_is_a_candidate():
+    for value, before, after, _, good in op.labelled_findings(3000, seed=5):
+        text = f"{before}{value}{after}"
+        (s,) = tb.text_slices(pa.array([text]), lower=False)
+        a = len(before.encode())  # a full stop or comma that ends an unquoted value counts as the sentence's
+        assert not good or any(x <= a and y >= a + len(value.rstrip(".,;").encode()) for _, x, y in op.candidates(s, pa.array([text]))), text
