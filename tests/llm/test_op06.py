@@ -58,3 +58,30 @@ def test_empty_table(spark):
 def test_a_table_of_nulls(spark):
     tokens = op.token_table(docs(spark, [(1, None), (2, None)]))
     assert [tuple(r)[1:] for r in op.encode(tokens, op.ranked(tokens)).collect()] == [(None, None, None)] * 2
+
+
+def test_the_query_holds_what_decoding_needs(spark, tmp_path):
+    texts = [prose(k, 200) for k in range(4)] + ["", (4, "again again"), (4, "again again"), (None, "no id"), (77, None)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    op.query(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    result = spark.read.parquet(f"{tmp_path}/out")
+    coded = result.where("rank IS NULL")
+    plain = [t[1] if isinstance(t, tuple) else t for t in texts]
+    got = [None if r["tokens"] is None else ENC.decode(r["tokens"]) for r in op.decode(coded, op.order_of(result)).collect()]
+    assert sorted(got, key=repr) == sorted(plain, key=repr)
+    assert sorted(((r["n_tokens"], r["exact"]) for r in coded.collect()), key=repr) == sorted(((None, None) if t is None else (len(ENC.encode_ordinary(t)), True) for t in plain), key=repr)
+    count = np.bincount([i for t in plain if t for i in ENC.encode_ordinary(t)])
+    order = sorted(np.flatnonzero(count).tolist(), key=lambda i: (-count[i], i))
+    assert rows(result.where("rank IS NOT NULL").select("doc_id", "rank", "id", "count")) == sorted(((None, k, i, int(count[i])) for k, i in enumerate(order)), key=repr)
+
+
+def test_rows_that_decode_to_other_ids_are_not_exact(spark):
+    tokens = op.token_table(docs(spark, ["again again again", "other words"]))
+    order = op.ranked(tokens)
+    often = {r["doc_id"]: r["exact"] for r in op.encode(tokens, order[1:], check=True).collect()}
+    assert often == {0: False, 1: True}
+
+
+def test_an_empty_table_has_an_empty_result(spark, tmp_path):
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert op.query(spark, str(tmp_path)).collect() == []
