@@ -3,8 +3,11 @@
 For each value of a binary column: the program association and map tables are parsed (sections with a wrong
 CRC are left out), continuity counters are checked for every PID, elementary packets are put together again
 from the payloads of their transport packets, and each comes back with its timestamps and whether it is a
-random-access point.  A stream that begins in the middle of a packet is read from the first offset at which
-most sync bytes stand; packets without one are skipped, and show as a gap in their PID.
+random-access point.  Sync is found at the first offset with ``SURE`` sync bytes SIZE apart, or as many as the
+rest of the value has room for, and sought again wherever it is lost: bytes that were lost or inserted cost only
+the packets they fall in.  A single packet without its sync byte between others that have it is skipped.  What is
+skipped shows as a gap in its PID.  A loss of sync also counts as a gap in the unit of the packet before it, which
+may hold bytes put in, and in every unit of no declared length whose PID has no packet after it.
 
 Per value all transport packets are handled at once on numpy arrays; nothing is shuffled.
 
@@ -22,20 +25,52 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.ts_media import crc32, media_of_pages
 
-SIZE = 188
+SIZE, SURE = 188, 4
 COLUMNS = "program int, pid int, stream_type int, ordinal int, stream_id int, pts long, dts long, random_access boolean, gaps int, complete boolean, payload binary"
 
 
-def aligned(raw: np.ndarray) -> np.ndarray:
-    """packets x SIZE, from the offset at which most packets begin with a sync byte."""
-    if len(raw) < SIZE:
-        return np.zeros((0, SIZE), np.uint8)
-    offset = 0
-    if raw[0] != 0x47 or (raw[: len(raw) // SIZE * SIZE : SIZE] != 0x47).any():
-        hits = [int((raw[k : k + (len(raw) - k) // SIZE * SIZE : SIZE] == 0x47).sum()) for k in range(min(SIZE, len(raw) - SIZE + 1))]
-        offset = int(np.argmax(hits))
-    n = (len(raw) - offset) // SIZE
-    return raw[offset : offset + n * SIZE].reshape(n, SIZE)
+def aligned(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packets x SIZE that begin with a sync byte, how many of them stand before each loss of sync, which may hold bytes put in)."""
+    whole = len(raw) // SIZE
+    if whole and (raw[::SIZE] == 0x47).all():  # also the packet cut short at the end, if there is one
+        return raw[: whole * SIZE].reshape(whole, SIZE), np.zeros(0, np.int64), np.zeros(whole, bool)
+    last = len(raw) - SIZE  # where the last whole packet can begin
+    sync = np.flatnonzero(raw[: max(0, last + 1)] == 0x47)
+    is_sync = np.zeros(len(raw) + SURE * SIZE, bool)
+    is_sync[sync] = True
+    followed = np.ones(len(sync), bool)
+    for k in range(1, SURE):
+        followed &= is_sync[sync + k * SIZE] | (sync + k * SIZE > last)
+    sure = sync[followed]
+    starts: list[int] = []
+    breaks, doubtful, at = [], [], 0
+    while at <= last:
+        column = is_sync[at : last + 1 : SIZE]
+        off = np.flatnonzero(~column)
+        good = int(off[0]) if len(off) else len(column)
+        starts += range(at, at + good * SIZE, SIZE)
+        at += good * SIZE
+        if at > last and (at == len(raw) or raw[at] == 0x47):  # a packet cut short
+            break
+        if starts:
+            breaks.append(len(starts))
+            if len(column) > good + 1 and column[good + 1 : good + SURE].all():
+                at += SIZE  # only this packet's sync byte is wrong
+                continue
+        # bytes may be missing in the packet before, so a new one may begin inside it; a lone one must end the value
+        found = sure[np.searchsorted(sure, starts[-1] + 1 if starts else 0) :]
+        found = found[is_sync[found + SIZE] | (found == last)] if starts else found
+        if starts and len(found) and found[0] < at:
+            starts.pop()
+            breaks[-1] -= 1
+        elif starts:
+            doubtful.append(len(starts) - 1)
+        if not len(found):
+            break
+        at = int(found[0])
+    begin, doubt = np.array(starts, np.int64), np.zeros(len(starts), bool)
+    doubt[doubtful] = True
+    return raw[begin[:, None] + np.arange(SIZE)].reshape(-1, SIZE), np.array(breaks, np.int64), doubt
 
 
 def sections(payloads: list[tuple[bool, bytes]]) -> list[bytes]:
@@ -88,8 +123,10 @@ def _time(b: bytes) -> int:
 
 def take_apart(data: bytes) -> list[tuple]:
     """One tuple of COLUMNS for each elementary packet, by program, PID and place in the stream."""
-    p = aligned(np.frombuffer(data, np.uint8))
-    p = p[(p[:, 0] == 0x47) & (p[:, 1] & 0x80 == 0)]  # in sync and without transport error
+    p, breaks, doubt = aligned(np.frombuffer(data, np.uint8))
+    sound = p[:, 1] & 0x80 == 0  # without transport error
+    breaks = np.concatenate([[0], np.cumsum(sound)])[breaks]
+    p, doubt = p[sound], doubt[sound]
     if not len(p):
         return []
     pid = (p[:, 1] & 31).astype(np.int32) << 8 | p[:, 2]
@@ -123,9 +160,12 @@ def take_apart(data: bytes) -> list[tuple]:
             unit = flat[ends[a - 1] if a else 0 : ends[b - 1]].tobytes()
             # a gap before the first transport packet of a unit belongs to the unit before it
             lost = int(gap[a + 1 : b].sum()) + int(b < len(at) and gap[b])
+            lost += int(doubt[at[a:b]].sum())
             if len(unit) < 6 or unit[:3] != b"\0\0\1":
                 continue
             declared = unit[4] << 8 | unit[5]
+            if b == len(at) and not declared and not lost:  # no counter or length shows what a later loss of sync took
+                lost = int((breaks > at[b - 1]).sum())
             body, pts, dts = unit[6:], None, None
             if len(unit) >= 9 and unit[6] & 0xC0 == 0x80:
                 body = unit[9 + unit[8] :]

@@ -107,3 +107,29 @@ def test_pages_round_trip(spark):
     assert b"".join(bytes(r["payload"]) for r in got if r["media_id"] == 1).decode() == "<p>é</p>" * 900
     assert {r["media_id"] for r in got} == {1, None}
     assert rows(ts.media_of_pages(pages).where("media_id = 3")) == [(3, None)]
+
+
+def test_a_byte_lost_or_inserted_in_the_middle_costs_only_its_packet():
+    data = ts.stream(PICTURE, SOUND)
+    whole = {(r[1], r[5]): r for r in op.take_apart(data)}
+    n = len(data) // 188
+    video = [k for k in range(n) if (data[188 * k + 1] & 31) << 8 | data[188 * k + 2] == ts.VIDEO and not data[188 * k + 1] & 0x40]
+    for k in (video[3], video[len(video) // 2], video[-2]):
+        at = 188 * k + 100
+        for cut in (data[:at] + data[at + 1 :], data[:at] + b"\x11" + data[at:], data[:at] + data[at + 80 :], data[:at] + bytes(500) + data[at:]):
+            got = op.take_apart(cut)
+            assert {(r[1], r[5]) for r in got} == set(whole)
+            broken = [r for r in got if not r[9]]
+            assert len(broken) == 1 and broken[0][1] == ts.VIDEO and broken[0][8] >= 1
+            assert all(r[4:] == whole[r[1], r[5]][4:] for r in got if r[9])
+
+
+def test_a_break_after_which_nothing_is_in_sync_makes_the_open_unit_incomplete():
+    c = {}
+    body = b"".join(ts.packets(0, ts.TABLES[0][1] + b"\xff" * (184 - len(ts.TABLES[0][1])), c) + [x for pid, t in ts.TABLES[1:] for x in ts.packets(pid, t + b"\xff" * (-len(t) % 184), c)])
+    unit = bytearray(ts.pes(0xE0, b"x" * 184 * 12, 5, 5))
+    unit[4:6] = b"\0\0"  # no declared length
+    video = ts.packets(ts.VIDEO, bytes(unit), c)
+    assert [r[9] for r in op.take_apart(body + b"".join(video))] == [True]
+    got = op.take_apart(body + b"".join(video[:6]) + bytes(188 * 4))
+    assert [(r[8], r[9]) for r in got] == [(1, False)]
