@@ -1,7 +1,8 @@
-"""Token counts: texts are encoded in batches of even bytes in Arrow functions, and only lengths come back.
+"""Token counts: texts are encoded one by one, in slices of even bytes in Arrow functions, and only lengths come back.
 
-A scan's batch is cut into runs of about ``BATCH_BYTES``, whatever the number of rows; a text that is longer
-is encoded in parts cut at safe boundaries.  Nothing is shuffled: the scan's partitions are balanced by bytes
+A scan's batch is cut into runs of about ``BATCH_BYTES``, whatever the number of rows; a text longer than
+``bpe.LONG`` is encoded in parts cut at safe boundaries.  The library's batch call isn't used: it starts threads of
+its own and returns Python lists of ids, of which only the lengths are wanted.  Nothing is shuffled: the scan's partitions are balanced by bytes
 already, and a row of two numbers is all that leaves Python.
 
 Defined results.  Null text: null.  Empty text: 0.  Rows that repeat are counted each.  Empty table: empty
@@ -22,7 +23,7 @@ BATCH_BYTES = 1 << 20
 
 
 def lengths(enc, texts: list[str]) -> list[int]:
-    """Tokens of each text; short texts in one call, long ones part by part."""
+    """Tokens of each text, a call for each; long ones part by part."""
     pieces, of = [], []
     for k, text in enumerate(texts):
         own = bpe.parts(text)
