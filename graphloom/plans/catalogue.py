@@ -1,4 +1,7 @@
-"""Every operator as a query over the test tables, with SQL of the same meaning where SQL can say it."""
+"""Operators as queries over the test tables, with SQL of the same meaning where SQL can say it.
+
+Extraction from sources, chain walking, the indexer and the whole compact listing have tests but no query.
+"""
 
 from __future__ import annotations
 
