@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import tiktoken
@@ -15,8 +16,13 @@ RANK_FILE = os.environ.get("GRAPHLOOM_RANKS", "/opt/tokenizers/byte_bpe_50k.tikt
 #: The pre-splitting pattern published with the 50,257-token byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 1 << 16  # bytes beyond which a text is encoded in parts
+CALL = 1 << 20  # characters handed to the library in one call
+#: Stands between the texts of one call; a text that holds it is encoded by a call of its own.
+BETWEEN = "\uffff<|between|>\uffff"
+#: White space as the pattern's \\s takes it, in runs that the pattern's look-ahead would need a deep stack for.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
-_OPEN: dict[int, tiktoken.Encoding] = {}
+_OPEN: dict[int, Coder] = {}
 
 
 def read_ranks(path: str = RANK_FILE) -> bytes:
@@ -24,13 +30,41 @@ def read_ranks(path: str = RANK_FILE) -> bytes:
         return f.read()
 
 
-def encoding(ranks: bytes) -> tiktoken.Encoding:
+class Coder:
+    """A rank file's encoding, for many texts in a call."""
+
+    def __init__(self, table: dict[bytes, int]):
+        self.n_vocab = max(table.values(), default=-1) + 1
+        self._table, self._one = table, None
+        self._many = tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=table, special_tokens={BETWEEN: self.n_vocab})
+
+    def whole(self, piece: str) -> np.ndarray:
+        """The ids of a text that the pattern takes for one piece."""
+        if self._one is None:
+            self._one = tiktoken.Encoding("piece", pat_str="(?s).+", mergeable_ranks=self._table, special_tokens={})
+        return self._one.encode_to_numpy(piece, disallowed_special=())
+
+    def plain(self, text: str) -> np.ndarray:
+        return self._many.encode_to_numpy(text, disallowed_special=())
+
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each text) by one call of the library."""
+        got = self._many.encode_to_numpy(BETWEEN.join(texts), allowed_special={BETWEEN}, disallowed_special=())
+        at = np.flatnonzero(got == self.n_vocab)
+        return got[got != self.n_vocab], np.diff(at, prepend=-1, append=len(got)) - 1
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        if ids and max(ids) >= self.n_vocab:
+            raise KeyError(max(ids))
+        return self._many.decode_bytes(ids)
+
+
+def encoding(ranks: bytes) -> Coder:
     """The encoding of a rank file's bytes; one is kept per process."""
     key = hash(ranks)
     if key not in _OPEN:
         _OPEN.clear()
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _OPEN[key] = tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        _OPEN[key] = Coder({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())})
     return _OPEN[key]
 
 
@@ -52,10 +86,26 @@ def boundaries(raw: np.ndarray) -> np.ndarray:
     return at[after_ok & (plain(before) | ((before >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)))]
 
 
-def parts(text: str, limit: int = LONG) -> list[str]:
-    """The text cut at safe boundaries into parts of at most ``limit`` bytes where boundaries allow."""
+def parts(text: str, limit: int = LONG) -> list[tuple[str, bool]]:
+    """The text cut at safe boundaries into parts of at most ``limit`` bytes where boundaries allow.
+
+    The bool says that a part is one piece of the pattern, to be encoded without it: all of a long run of white
+    space but its last character, which begins the next part, or the whole run where the text ends with it.
+    """
     if len(text) * 4 <= limit:
-        return [text]
+        return [(text, False)]
+    out, a = [], 0
+    for run in _BLANKS.finditer(text):
+        b = run.end() if run.end() == len(text) else run.end() - 1
+        out += [(p, False) for p in _spaced(text[a : run.start()], limit)]
+        out.append((text[run.start() : b], True))
+        a = b
+    return out + [(p, False) for p in _spaced(text[a:], limit)]
+
+
+def _spaced(text: str, limit: int) -> list[str]:
+    if not text:
+        return []
     raw = text.encode()
     if len(raw) <= limit:
         return [text]
@@ -71,6 +121,40 @@ def parts(text: str, limit: int = LONG) -> list[str]:
     return [*out, raw[a:].decode()]
 
 
-def encode(enc: tiktoken.Encoding, text: str, limit: int = LONG) -> np.ndarray:
-    got = [enc.encode_to_numpy(p, disallowed_special=()) for p in parts(text, limit)]
+def encode(coder: Coder, text: str, limit: int = LONG) -> np.ndarray:
+    got = [coder.whole(p) if piece else coder.plain(p) for p, piece in parts(text, limit)]
     return got[0] if len(got) == 1 else np.concatenate(got)
+
+
+def calls(coder: Coder, texts: list[str | None], size: int = CALL):
+    """(ids, texts they are of, how many of each), a call at a time: about ``size`` characters in every call.
+
+    Long texts are cut at safe boundaries, so a text can be in several calls; nulls are of no length.
+    """
+    batch, rows, held = [], [], 0
+    for k, text in enumerate(texts):
+        for p, piece in parts(text or ""):
+            if piece or BETWEEN in p:
+                if batch:
+                    yield coder.joined(batch), rows
+                    batch, rows, held = [], [], 0
+                ids = coder.whole(p) if piece else coder.plain(p)
+                yield (ids, np.array([len(ids)])), [k]
+                continue
+            batch.append(p)
+            rows.append(k)
+            held += len(p)
+            if held >= size:
+                yield coder.joined(batch), rows
+                batch, rows, held = [], [], 0
+    if batch:
+        yield coder.joined(batch), rows
+
+
+def encode_many(coder: Coder, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of all texts, one after the other, how many of each)."""
+    flat, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+    for (ids, sizes), rows in calls(coder, texts):
+        flat.append(ids)
+        np.add.at(counts, rows, sizes)
+    return np.concatenate(flat), counts

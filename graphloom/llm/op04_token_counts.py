@@ -1,9 +1,12 @@
-"""Token counts: texts are encoded one by one, in slices of even bytes in Arrow functions, and only lengths come back.
+"""Token counts by batch encoding in Arrow functions; only lengths come back.
 
-A scan's batch is cut into runs of about ``BATCH_BYTES``, whatever the number of rows; a text longer than
-``bpe.LONG`` is encoded in parts cut at safe boundaries.  The library's batch call isn't used: it starts threads of
-its own and returns Python lists of ids, of which only the lengths are wanted.  Nothing is shuffled: the scan's partitions are balanced by bytes
-already, and a row of two numbers is all that leaves Python.
+A scan's batch is cut into runs of about ``BATCH_BYTES`` of text, whatever the number of rows.  The texts of a run
+are encoded by one call of the library each ``bpe.CALL`` characters, a reserved mark between them, and their lengths
+are the distances between the marks' ids.  (The library's own batch call starts threads and returns Python lists of
+ids, of which only the lengths are wanted.)  A text longer than ``bpe.LONG`` is encoded in parts cut at safe
+boundaries, and long runs of white space without the pattern, so very long texts of any kind are counted like others.
+Nothing is shuffled: the scan's partitions are balanced by bytes already, and a row of two numbers is all that leaves
+Python.
 
 Defined results.  Null text: null.  Empty text: 0.  Rows that repeat are counted each.  Empty table: empty
 result.  Other columns are not read, whatever their names.
@@ -22,15 +25,12 @@ from graphloom.llm import textbytes as tb
 BATCH_BYTES = 1 << 20
 
 
-def lengths(enc, texts: list[str]) -> list[int]:
-    """Tokens of each text, a call for each; long ones part by part."""
-    pieces, of = [], []
-    for k, text in enumerate(texts):
-        own = bpe.parts(text)
-        pieces += own
-        of += [k] * len(own)
-    sizes = [len(enc.encode_to_numpy(p, disallowed_special=())) for p in pieces]
-    return np.bincount(of, sizes, len(texts)).astype(np.int64).tolist()
+def lengths(coder: bpe.Coder, texts: list[str | None]) -> np.ndarray:
+    """Tokens of each text; no more than one call's ids are held at a time."""
+    out = np.zeros(len(texts), np.int64)
+    for (_, sizes), rows in bpe.calls(coder, texts):
+        np.add.at(out, rows, sizes)
+    return out
 
 
 def token_counts(docs: DataFrame, rank_file: str = bpe.RANK_FILE) -> DataFrame:
@@ -38,13 +38,14 @@ def token_counts(docs: DataFrame, rank_file: str = bpe.RANK_FILE) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(rank_file))
 
     def run(batches):
-        enc = bpe.encoding(ranks.value)
+        coder = bpe.encoding(ranks.value)
         for batch in batches:
-            texts, out = batch["text"], []
+            texts, out = batch["text"], np.zeros(batch.num_rows, np.int64)
             for s in tb.text_slices(texts, lower=False, target=BATCH_BYTES):
-                out += lengths(enc, [t or "" for t in texts[s.first : s.first + len(s.offsets) - 1].to_pylist()])
+                run = slice(s.first, s.first + len(s.offsets) - 1)
+                out[run] = lengths(coder, texts[run].to_pylist())
             gone = texts.is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(out, np.int64), mask=gone)], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, mask=gone)], names=["doc_id", "n_tokens"])
 
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)

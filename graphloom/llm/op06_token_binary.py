@@ -67,13 +67,16 @@ def token_table(docs: DataFrame, rank_file: str = bpe.RANK_FILE) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(rank_file))
 
     def run(batches):
-        enc = bpe.encoding(ranks.value)
-        kind = "<u2" if enc.n_vocab <= 1 << 16 else "<u4"
+        coder = bpe.encoding(ranks.value)
+        kind = "<u2" if coder.n_vocab <= 1 << 16 else "<u4"
         for batch in batches:
             for s in tb.text_slices(batch["text"], lower=False, target=BATCH_BYTES):
                 part = batch.slice(s.first, len(s.offsets) - 1)
-                ids = [None if t is None else bpe.encode(enc, t).astype(kind).tobytes() for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary()), pa.array(np.full(len(ids), int(kind[2])))], names=["doc_id", "ids", "width"])
+                flat, counts = bpe.encode_many(coder, part["text"].to_pylist())
+                gone = part["text"].is_null().to_numpy(zero_copy_only=False)
+                ids = _binary(flat.astype(kind).view(np.uint8), counts * int(kind[2]), gone)
+                width = pa.array(np.full(len(counts), int(kind[2])))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], ids, width], names=["doc_id", "ids", "width"])
 
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, width long"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)

@@ -1,11 +1,14 @@
+import base64
+
 import numpy as np
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm import bpe, op06_token_binary as op
 from tests.llm.helpers import docs, prose, rows
 
-ENC = bpe.encoding(bpe.read_ranks())
+ENC = tiktoken.Encoding("plain", pat_str=bpe.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, bpe.read_ranks().splitlines())}, special_tokens={})
 
 
 def slow(values):

@@ -41,7 +41,7 @@ def slow(spark, d, rows, items):
     leak = lambda t: any(2 * len(words(u)) * op01_decontaminate.SCORE <= align_slow(words(u), words(t or "")) for u in items)
     rows = [(i, t) for i, t in rows if t is None or len(t) > 50_000 or not leak(t)]
     rows = [(i, None if t is None else t.replace(KEY, "[SECRET]")) for i, t in rows]
-    enc = bpe.encoding(bpe.read_ranks())
+    enc = bpe.encoding(bpe.read_ranks())._many
     return sorted(((i, None if t is None else enc.encode_ordinary(t)) for i, t in rows), key=repr)
 
 
