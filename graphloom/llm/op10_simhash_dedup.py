@@ -11,10 +11,19 @@ programming picks the thresholds (-1: not probed) that make the fewest candidate
 at each distance in each partition.  Those come from histograms of the partitions' values over all documents:
 a Walsh-Hadamard transform gives the pairs at each XOR, hence at each distance.
 
-Cost at scale: texts never leave the first scan.  After it a document is a row of 40 bytes; equal fingerprints
-are merged, and the rest meet in blocks of like length, of at most ``BLOCK`` rows on a side, in which the
-probing is done on arrays.  A task returns a spanning forest of its near duplicates, never all pairs, so a
-group of thousands of copies costs as many edges as it has members.
+Cost at scale: texts never leave the first scan.  After it a document is a row of 36 bytes, and equal fingerprints
+are merged by an aggregation.  The rest are joined by (partition, value): the values of a partition are cut into
+cells by their leading bits, a row goes to its own cell and, as a probe, to the lesser cells within the threshold,
+and a task holds one cell.  The number of leading bits comes from the histograms and is such that a cell has about
+``CELL`` rows, up to all 16, so a row is sent at most 8 x 69 times at thresholds of 2, however many rows there are.
+Cells that are larger still, by skewed values, are salted: cut into chunks of which each pair is a task.  A task
+verifies only pairs of rows of like length, returns a spanning forest of its near duplicates, never all pairs, and
+passes over pairs that are joined already, so a group of thousands of copies costs as many edges as it has members.
+The number of candidates, unlike that of rows sent, is a fixed share of all pairs (1.5 % of those of like length for
+independent bits at radius 22, 0.2 % at radius 15, 0.01 % at radius 7), so verifying grows with the square of the
+number of different fingerprints; a lesser radius is the remedy.
+
+Very long texts are read in slices (simbits), and give a row like any other.
 
 Defined results.  Null text: never grouped.  Text without words: grouped with equal texts only.  Null doc_id:
 never grouped.  Rows that share a doc_id are one document: all stay or all go.  Empty table: empty result.
@@ -24,25 +33,24 @@ Other columns are neither read nor changed, whatever their names.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphloom.checkpoints import cut
+from graphloom.checkpoints import cut, discard
 from graphloom.llm import simbits
 from graphloom.llm import textbytes as tb
 from graphloom.llm.components import components
 
-RADIUS, RATIO, PARTS, BLOCK, BROADCAST_IDS = 22, 0.8, 8, 400_000, 4_000_000
+RADIUS, RATIO, PARTS, CELL, BROADCAST_IDS = 22, 0.8, 8, 1 << 20, 4_000_000
 WIDTH = simbits.BITS // PARTS
-DIRECT = 1500  # rows up to which a block compares every pair
+HEAVY = 1 << 12  # pairs of two runs of equal values beyond which those already joined are passed over
 _PAIRS = 1 << 21  # pairs handled at a time
 SKETCH = "doc_id long, f1 long, f2 long, n int"
+SENT = "task long, second boolean, rep long, f1 long, f2 long, n int"
 
 
 def sketch_batches(batches):
@@ -160,8 +168,9 @@ def _choose(n: int, k: int) -> int:
     return reduce(lambda x, i: x * (n - i) // (i + 1), range(k), 1)
 
 
-def band(n):
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / RATIO)) + F.lit(1e-9)).cast("int")
+def band(n: np.ndarray) -> np.ndarray:
+    """Counts within RATIO of each other are in the same band or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(1 / RATIO) + 1e-9).astype(np.int64)
 
 
 def _cross(lo_a, n_a, lo_b, n_b):
@@ -191,62 +200,148 @@ def _settle(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
             label[:] = deeper
 
 
-def near_forest(fp: np.ndarray, n: np.ndarray, side: np.ndarray | None, order: np.ndarray, limits: list[int], radius: int = RADIUS) -> np.ndarray:
-    """label[i]: the least row joined to row i by a chain of near duplicates; with side, of pairs across the sides only."""
-    label = np.arange(len(fp))
-    if len(fp) <= DIRECT:  # the same pairs, without the fixed cost of probing
-        for a in range(0, len(fp), 256):
-            d = np.bitwise_count(fp[a : a + 256, None] ^ fp[None]).sum(axis=2)
-            most, least = np.maximum(n[a : a + 256, None], n), np.minimum(n[a : a + 256, None], n)
-            x, y = np.nonzero((d <= radius) & (least >= RATIO * most - 1e-9) & (True if side is None else side[a : a + 256, None] != side))
-            _settle(label, x + a, y)
+class Cells:
+    """How rows are sent to tasks: partition p's values are in cells by their leading ``bits`` bits.
+
+    A pair of rows whose values are within the threshold is met in the cell of the one with the lesser leading
+    bits.  ``chunks[p][u]`` is the number of chunks that a cell's rows are cut into.
+    """
+
+    def __init__(self, counts: np.ndarray, order: np.ndarray, limits: list[int], cell: int):
+        self.order, self.limits = order, limits
+        for self.bits in range(WIDTH + 1):
+            held = {p: self._held(counts[p], p) for p, t in enumerate(limits) if t >= 0}
+            if all(h.sum() <= cell << self.bits for h in held.values()):
+                break
+        self.chunks = {p: np.maximum(1, -(-h // cell)) for p, h in held.items()}
+
+    def masks(self, p: int) -> list[int]:
+        return [m for m in range(1 << self.bits) if m.bit_count() <= self.limits[p]]
+
+    def _held(self, counts: np.ndarray, p: int) -> np.ndarray:
+        """Rows of each cell: its own and those that probe it."""
+        own = counts.reshape(1 << self.bits, -1).sum(axis=1)
+        u = np.arange(len(own))
+        return sum(np.where((u ^ m) >= u, own[u ^ m], 0) for m in self.masks(p))
+
+    def send(self, batches):
+        """Rows of SENT: task holds partition, cell and two chunks; second says that the row is of the second of them."""
+        for batch in batches:
+            fp = _fps(batch)
+            values, salt = parts(fp, self.order), tb.mix(np.asarray(batch["rep"]).view(np.uint64))
+            for p, chunks in self.chunks.items():
+                u = values[:, p].astype(np.int64) >> (WIDTH - self.bits)
+                to, row = [], []
+                for m in self.masks(p):
+                    at = np.flatnonzero((u ^ m) <= u)
+                    to.append(u[at] ^ m)
+                    row.append(at)
+                to, row = np.concatenate(to), np.concatenate(row)
+                n = chunks[to]
+                own = (salt[row] % n.astype(np.uint64)).astype(np.int64)
+                to, row, own = np.repeat(to, n), np.repeat(row, n), np.repeat(own, n)
+                other = np.arange(len(to)) - np.repeat(np.cumsum(n) - n, n)
+                task = ((np.int64(p) << 16 | to) << 20 | np.minimum(own, other)) << 20 | np.maximum(own, other)
+                for a in range(0, len(task), 1 << 16):
+                    some = batch.select(["rep", "f1", "f2", "n"]).take(pa.array(row[a : a + (1 << 16)]))
+                    head = [pa.array(task[a : a + (1 << 16)]), pa.array(own[a : a + (1 << 16)] > other[a : a + (1 << 16)])]
+                    yield pa.RecordBatch.from_arrays([*head, *some.columns], names=["task", "second", "rep", "f1", "f2", "n"])
+
+    def search(self, radius: int):
+        def run(table: pa.Table) -> pa.Table:
+            if table.num_rows < 2:
+                return table.select(["rep", "rep"]).rename_columns(["a", "b"]).slice(0, 0)
+            table = table.combine_chunks()
+            task = table["task"][0].as_py()
+            p, u, across = task >> 56, task >> 40 & 0xFFFF, task >> 20 & 0xFFFFF != task & 0xFFFFF
+            ids, fp, n = np.asarray(table["rep"]), _fps(table), np.asarray(table["n"]).astype(np.int64)
+            second = table["second"].to_numpy() if across else None
+            label = near_forest(fp, n, parts(fp, self.order)[:, p].astype(np.int64), u, WIDTH - self.bits, self.limits[p], second, radius)
+            at = np.flatnonzero(label != np.arange(len(label)))
+            return pa.table({"a": pa.array(ids[at], pa.int64()), "b": pa.array(ids[label[at]], pa.int64())})
+
+        return run
+
+
+def near_forest(fp: np.ndarray, n: np.ndarray, value: np.ndarray, u: int, shift: int, limit: int, second: np.ndarray | None, radius: int) -> np.ndarray:
+    """label[i]: a row joined to row i by near duplicates of which one has a value of cell u and the other of u or beyond.
+
+    Only values within ``limit`` are compared; with second, only rows of the two sides.
+    """
+    bands = band(n)
+    bands -= bands.min() - 1
+    wide = int(bands.max()) + 2  # with an empty band at either end
+    key = value * wide + bands
+    by = np.argsort(key, kind="stable")
+    fp, n, key = fp[by], n[by], key[by]
+    second = None if second is None else second[by]
+    lo, hi = np.searchsorted(key, [(u << shift) * wide, ((u + 1) << shift) * wide])  # the cell's own rows
+    label = np.arange(len(key))
+    if lo == hi:
         return label
-    values = parts(fp, order)
-    spread = np.arange(1 << WIDTH, dtype=np.uint32)
-    weight = np.bitwise_count(spread)
-    for p, limit in enumerate(limits):
-        if limit < 0:
-            continue
-        by = np.lexsort((n, values[:, p])) if side is None else np.lexsort((n, values[:, p], side))
-        cuts = [(by, by)] if side is None else [(by[side[by] == 0], by[side[by] == 1])]
-        for left, right in cuts:
-            lv, rv = values[left, p], values[right, p]
-            l0, r0 = np.searchsorted(lv, np.arange((1 << WIDTH) + 1)), np.searchsorted(rv, np.arange((1 << WIDTH) + 1))
-            ln, rn = np.diff(l0), np.diff(r0)
-            here = np.flatnonzero(ln)
-            for mask in spread[weight <= limit]:
-                to = here ^ int(mask)
-                ok = (rn[to] > 0) & ((here <= to) if side is None else True)
-                b, t = here[ok], to[ok]
-                for i, j in _cross(l0[b], ln[b], r0[t], rn[t]):
-                    x, y = left[i], right[j]
-                    apart = label[x] != label[y]
-                    x, y = x[apart], y[apart]
-                    d = np.bitwise_count(fp[x, 0] ^ fp[y, 0])
-                    near = d <= radius
-                    x, y, d = x[near], y[near], d[near]
-                    d = d + np.bitwise_count(fp[x, 1] ^ fp[y, 1])
-                    near = (d <= radius) & (np.minimum(n[x], n[y]) >= RATIO * np.maximum(n[x], n[y]) - 1e-9)
-                    if near.any():
-                        _settle(label, x[near], y[near])
-    return label
-
-
-def block_search(order: np.ndarray, limits: list[int], radius: int):
-    def search(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        by = np.argsort(np.asarray(table["rep"]), kind="stable")
-        ids, fp, n = np.asarray(table["rep"])[by], _fps(table)[by], np.asarray(table["n"])[by].astype(np.int64)
-        side = np.asarray(table["side"])[by] if table.num_rows and table["kind"][0].as_py() else None
-        label = near_forest(fp, n, side, order, limits, radius)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": pa.array(ids[at], pa.int64()), "b": pa.array(ids[label[at]], pa.int64())})
-
-    return search
-
-
-def plan(reps: DataFrame, radius: int) -> tuple[np.ndarray, list[int]]:
-    """(bit order, thresholds), from statistics over all rows; 8,257 and at most 524,288 numbers reach the driver."""
+    if len(key) * 64 < wide << WIDTH:
+        first = lambda k: np.searchsorted(key, k)  # noqa: E731  # where a (value, band) begins
+    else:
+        table = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=wide << WIDTH))])
+        first = lambda k: table[k]
+
+    def verify(x: np.ndarray, y: np.ndarray) -> None:
+        new = label[x] != label[y]
+        if second is not None:
+            new &= second[x] != second[y]
+        x, y = x[new], y[new]
+        d = np.bitwise_count(fp[x, 0] ^ fp[y, 0])
+        near = d <= radius
+        x, y, d = x[near], y[near], d[near]
+        d = d + np.bitwise_count(fp[x, 1] ^ fp[y, 1])
+        near = (d <= radius) & (np.minimum(n[x], n[y]) >= RATIO * np.maximum(n[x], n[y]) - 1e-9)
+        if near.any():
+            _settle(label, x[near], y[near])
+
+    def meet(lo_a, n_a, lo_b, n_b) -> None:
+        """Verify the crosses of runs; of large ones without the pairs that are joined already."""
+        large = n_a * n_b > HEAVY
+        for x, y in _cross(lo_a[~large], n_a[~large], lo_b[~large], n_b[~large]):
+            verify(x, y)
+        for k in np.flatnonzero(large):
+            a, b = np.arange(lo_a[k], lo_a[k] + n_a[k]), np.arange(lo_b[k], lo_b[k] + n_b[k])
+            of, size = np.unique(np.concatenate([label[a], label[b]]), return_counts=True)
+            if len(of) == 1:
+                continue
+            top = of[size.argmax()]
+            a_in, b_in = label[a] == top, label[b] == top
+            for left, right in ((a[a_in], b[~b_in]), (a[~a_in], b[b_in]), (a[~a_in], b[~b_in])):
+                for i in range(0, len(left) and len(right), max(1, _PAIRS // max(1, len(left)))):
+                    some = right[i : i + max(1, _PAIRS // max(1, len(left)))]
+                    verify(np.repeat(left, len(some)), np.tile(some, len(left)))
+
+    run = np.unique(key[lo:hi])
+    begin = first(run)
+    size, upto = first(run + 1) - begin, first(run + 2) - begin
+    for k in range(4) if (size**2 > HEAVY).any() else ():  # large runs are first compared with a few of their own rows
+        at = np.flatnonzero(size**2 > HEAVY)
+        x = np.repeat(begin[at] + size[at] * k // 4, size[at])
+        verify(x, np.repeat(begin[at] - np.cumsum(size[at]) + size[at], size[at]) + np.arange(size[at].sum()))
+    # equal values: the rest of the own band and the next band
+    large = size * upto > HEAVY
+    meet(begin[large], size[large], begin[large], upto[large])
+    row = np.arange(lo, hi)[np.repeat(~large, size)]
+    meet(row, np.ones(len(row), np.int64), row + 1, np.repeat((begin + upto)[~large], size[~large]) - row - 1)
+    v, b = run // wide, run % wide
+    masks = np.arange(1, 1 << WIDTH)
+    for mask in masks[np.bitwise_count(masks.astype(np.uint32)) <= limit]:
+        to = v ^ mask
+        start, end = first(to * wide + b - 1), first(to * wide + b + 2)
+        ok = (end > start) & ((to >> shift > u) | ((to >> shift == u) & (to > v)))
+        if ok.any():
+            meet(begin[ok], size[ok], start[ok], (end - start)[ok])
+    out = np.empty(len(by), np.int64)
+    out[by] = by[label]
+    return out
+
+
+def plan(reps: DataFrame, radius: int, cell: int = CELL) -> Cells:
+    """Bit order, thresholds and cells, from statistics over all rows; 8,257 and at most 524,288 numbers reach the driver."""
     both, total = np.zeros((simbits.BITS, simbits.BITS)), 0
     for i, j, c in reps.mapInArrow(bit_counts, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c")).toPandas().itertuples(index=False):
         if i < 0:
@@ -257,48 +352,33 @@ def plan(reps: DataFrame, radius: int) -> tuple[np.ndarray, list[int]]:
     counts = np.zeros((PARTS, 1 << WIDTH), np.int64)
     got = reps.mapInArrow(value_counts(order), "p int, v int, c long").groupBy("p", "v").agg(F.sum("c").alias("c")).toPandas()
     counts[got["p"].to_numpy(), got["v"].to_numpy()] = got["c"].to_numpy()
-    return order, allocate(pairs_within(counts), radius)
-
-
-def duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, duplicate_of, group_size): one row for each document that goes, with the one of its group that stays."""
-    spark = docs.sparkSession
-    same = Window.partitionBy("f1", "f2", "n")
-    rows = cut(sketches(docs).withColumn("rep", F.min("doc_id").over(same)))
-    reps = rows.where("doc_id = rep and n > 0").select("rep", "f1", "f2", "n").distinct().withColumn("band", band(F.col("n")))
-    reps = cut(reps)
-    order, limits = plan(reps, radius)
-    sizes = {r["band"]: r["c"] for r in reps.groupBy("band").agg(F.count("*").alias("c")).collect()}
-    if sizes:
-        chunks = {b: -(-c // block) for b, c in sizes.items()}
-        edges = reps.where(reduce(or_, [F.col("band") == b for b in chunks])).transform(lambda d: blocks(d, chunks))
-        edges = edges.groupBy("band", "kind", "i", "j").applyInArrow(block_search(order, limits, radius), "a long, b long")
-        roots = components(edges)
-    else:
-        roots = spark.createDataFrame([], "node long, root long")
+    return Cells(counts, order, allocate(pairs_within(counts), radius), cell)
+
+
+def duplicates(docs: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """(doc_id, duplicate_of, group_size): one row for each document that goes, with the one of its group that stays.
+
+    Joins by a value that many rows share are of a large side with one row for each value, which adaptive
+    execution splits where a value is hot; nothing is sorted or collected by group.
+    """
+    rows = cut(sketches(docs))
+    reps = cut(rows.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
+    held = cut(rows.join(reps, ["f1", "f2", "n"]).select("doc_id", "rep").distinct())
+    discard(rows)
+    some = reps.where("n > 0").select("rep", "f1", "f2", "n")
+    cells = plan(some, radius, cell)
+    edges = some.mapInArrow(cells.send, SENT).groupBy("task").applyInArrow(cells.search(radius), "a long, b long")
     # the same doc_id under several fingerprints links their groups
-    twice = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    if not twice.isEmpty():
-        links = rows.join(twice.select("doc_id", "a"), "doc_id").select(F.col("rep").alias("b"), "a")
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-    found = rows.select("doc_id", "rep").distinct().join(roots, F.col("rep") == F.col("node"), "left")
-    found = found.select("doc_id", F.coalesce("root", "rep").alias("duplicate_of")).distinct()
-    found = found.withColumn("group_size", F.count("*").over(Window.partitionBy("duplicate_of")))
-    return found.where("doc_id <> duplicate_of")
-
-
-def blocks(reps: DataFrame, chunks: dict[int, int]) -> DataFrame:
-    """Rows with the task they go to: kind 0 holds pairs inside a band, kind 1 pairs of a band (side 0) and the one below (side 1)."""
-    count = F.create_map(*[F.lit(x) for b, c in chunks.items() for x in (b, c)])
-    of = lambda b: F.coalesce(count[b], F.lit(0))
-    upto = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda b, kind, side, i, j: F.struct(b.alias("band"), F.lit(kind).alias("kind"), F.lit(side).alias("side"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-    b, c = F.col("band"), F.pmod(F.xxhash64("rep"), of(F.col("band"))).cast("int")
-    inside = F.transform(upto(of(b)), lambda x: task(b, 0, 0, F.least(F.col("chunk"), x), F.greatest(F.col("chunk"), x)))
-    above = F.transform(upto(of(b - 1)), lambda x: task(b, 1, 0, F.col("chunk"), x))
-    below = F.transform(upto(of(b + 1)), lambda x: task(b + 1, 1, 1, x, F.col("chunk")))
-    rows = reps.withColumn("chunk", c).withColumn("task", F.explode(F.concat(inside, above, below)))
-    return rows.select("rep", "f1", "f2", "n", "task.*")
+    twice = held.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    links = held.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
+    roots = components(edges.unionByName(links))
+    found = held.join(roots, F.col("rep") == F.col("node"), "left")
+    found = cut(found.select("doc_id", F.coalesce("root", "rep").alias("duplicate_of")).distinct())
+    sizes = found.groupBy("duplicate_of").agg(F.count("*").alias("group_size"))
+    out = cut(found.where("doc_id <> duplicate_of").join(sizes, "duplicate_of").select("doc_id", "duplicate_of", "group_size"))
+    for table in (reps, held, roots, found):
+        discard(table)
+    return out
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

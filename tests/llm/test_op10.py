@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import op10_simhash_dedup as op
@@ -33,27 +34,66 @@ def random_prints(n, seed=0):
     return np.packbits(bits, axis=1).view(np.uint64), rng.integers(80, 130, n)
 
 
-@pytest.mark.parametrize("direct", [0, 10_000])
-@pytest.mark.parametrize("seed", range(4))
-def test_probing_finds_every_pair(monkeypatch, seed, direct):
-    monkeypatch.setattr(op, "DIRECT", direct)
-    fp, n = random_prints(220, seed)
+def planned(fp, radius=op.RADIUS, cell=op.CELL):
     both = op._bits(fp).astype(float)
     order = op.group_bits(both.T @ both, len(fp))
     assert sorted(order) == list(range(128))
     counts = np.stack([np.bincount(v, minlength=1 << op.WIDTH) for v in op.parts(fp, order).T])
-    limits = op.allocate(op.pairs_within(counts), op.RADIUS)
-    assert sum(limits) == op.RADIUS - op.PARTS + 1
-    label = op.near_forest(fp, n, None, order, limits)
+    limits = op.allocate(op.pairs_within(counts), radius)
+    assert sum(limits) == radius - op.PARTS + 1
+    return op.Cells(counts, order, limits, cell)
+
+
+def joined(fp, n, cells, radius=op.RADIUS):
+    """({row: least row of its group}, rows sent, rows of the largest task), by the tasks that rows are sent to."""
+    reps = pa.RecordBatch.from_arrays([pa.array(np.arange(len(fp))), *(pa.array(fp[:, k].view(np.int64)) for k in (0, 1)), pa.array(n.astype(np.int32))], names=["rep", "f1", "f2", "n"])
+    sent = pa.Table.from_batches(cells.send([reps]))
+    sent = pa.Table.from_batches(cells.send([reps])).sort_by("task")
+    label, cuts = np.arange(len(fp)), np.flatnonzero(np.diff(sent["task"].to_numpy(), prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        edges = cells.search(radius)(sent.slice(a, b - a))
+        assert edges.num_rows < b - a
+        op._settle(label, edges["a"].to_numpy(), edges["b"].to_numpy())
+    return {k: int(v) for k, v in enumerate(label)}, sent.num_rows, int(np.diff(cuts).max())
+
+
+@pytest.mark.parametrize("cell", [op.CELL, 200, 60])
+@pytest.mark.parametrize("heavy", [1, op.HEAVY])
+@pytest.mark.parametrize("seed", range(3))
+def test_probing_finds_every_pair(monkeypatch, seed, heavy, cell):
+    monkeypatch.setattr(op, "HEAVY", heavy)
+    fp, n = random_prints(220, seed)
+    got, _, _ = joined(fp, n, planned(fp, cell=cell))
     want = brute(fp, n, list(range(len(fp))))
-    assert {k: int(v) for k, v in enumerate(label)} == want and len(set(want.values())) < len(fp)
-    side = np.arange(len(fp)) % 2
-    across = op.near_forest(fp, n, side, order, limits)
-    for k in np.flatnonzero(across != np.arange(len(fp))):
-        assert want[int(k)] == want[int(across[k])]
-    for a, b in itertools.combinations(range(len(fp)), 2):
-        if side[a] != side[b] and np.bitwise_count(fp[a] ^ fp[b]).sum() <= op.RADIUS and min(n[a], n[b]) >= op.RATIO * max(n[a], n[b]):
-            assert across[a] == across[b]
+    assert got == want and len(set(want.values())) < len(fp)
+
+
+@pytest.mark.parametrize("rows, cell, bits", [(500, 48, 7), (30, 1, op.WIDTH)])
+def test_few_rows_take_the_path_of_any_number(rows, cell, bits):
+    """Leading bits, at last all of them, and chunks of a hot group that holds a third, as a table of any size would have."""
+    rng = np.random.default_rng(5)
+    fp, n = random_prints(rows, 5)
+    hot = np.unpackbits(fp[:1].view(np.uint8), axis=1) ^ (rng.random((rows // 3, 128)) < 0.03)
+    fp[: rows // 3] = np.packbits(hot, axis=1).view(np.uint64)
+    n[: rows // 3] = 100
+    cells = planned(fp, cell=cell)
+    if bits == op.WIDTH:
+        cells.bits, cells.chunks = bits, {p: np.full(1 << bits, 2) for p in cells.chunks}
+    assert cells.bits >= bits and max(c.max() for c in cells.chunks.values()) > 1
+    got, _, largest = joined(fp, n, cells)
+    assert got == brute(fp, n, list(range(len(fp)))) and largest < 200
+
+
+def test_rows_sent_are_in_proportion_to_rows():
+    """With as many leading bits as there are, twice the rows are sent twice, and a row no more than 8 x 69 times."""
+    sent = []
+    for k in (2000, 4000):
+        fp = np.random.default_rng(8).integers(0, 1 << 63, (k, 2)).astype(np.uint64)
+        cells = planned(fp, cell=64)
+        cells.bits, cells.chunks = op.WIDTH, {p: np.ones(1 << op.WIDTH, np.int64) for p in cells.chunks}
+        reps = pa.RecordBatch.from_arrays([pa.array(np.arange(k)), *(pa.array(fp[:, j].view(np.int64)) for j in (0, 1)), pa.array(np.full(k, 9, np.int32))], names=["rep", "f1", "f2", "n"])
+        sent.append(sum(b.num_rows for b in cells.send([reps])))
+    assert sent[0] <= 2000 * op.PARTS * 69 and abs(sent[1] / sent[0] - 2) < 0.05
 
 
 def test_pair_counts_and_thresholds_are_the_best():
@@ -89,7 +129,7 @@ def want_of(spark, table):
     return {(a, b) for a, b in brute(fp[order], s["n"].to_numpy()[order], ids).items() if a != b}
 
 
-def test_groups_equal_brute_force_and_blocks_do_not_matter(spark):
+def test_groups_equal_brute_force_and_cells_do_not_matter(spark):
     texts = []
     for k in range(12):
         base = prose(k, 60 + 40 * (k % 4))
@@ -97,7 +137,7 @@ def test_groups_equal_brute_force_and_blocks_do_not_matter(spark):
     table = docs(spark, texts, first=100)
     got = {(r["doc_id"], r["duplicate_of"]) for r in op.duplicates(table).collect()}
     assert got == want_of(spark, table) and len(got) > 24
-    assert {(r["doc_id"], r["duplicate_of"]) for r in op.duplicates(table, block=7).collect()} == got
+    assert {(r["doc_id"], r["duplicate_of"]) for r in op.duplicates(table, cell=60).collect()} == got
     near = {(105 * 0 + 100 + 5 * k + j, 100 + 5 * k) for k in range(12) for j in (1, 2)}
     assert near <= got
 
@@ -136,8 +176,6 @@ def test_empty_table(spark):
 
 
 def test_fingerprints_do_not_depend_on_neighbours():
-    import pyarrow as pa
-
     texts = [prose(1), "", "a b a", None, prose(2, 30_000), "é"]
     fp, n = simbits.fingerprints(pa.array(texts))
     for k, t in enumerate(texts):
