@@ -2,8 +2,8 @@
 
 All functions look at the raw UTF-8 buffer of an Arrow array, a slice of about
 ``SLICE_BYTES`` at a time so that the temporaries stay in cache, and never loop
-over rows or words in Python.  A text longer than a slice is a slice of its own.
-Nulls count as empty texts.
+over rows or words in Python.  A text longer than a slice is a slice of its own,
+and its words are hashed a block of bytes at a time.  Nulls count as empty texts.
 """
 
 from __future__ import annotations
@@ -21,24 +21,21 @@ SLICE_ROWS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
-_SUMS = np.zeros(1, np.uint64)  # kept, as fresh pages cost more than the sums; the first stays 0
+BLOCK = 1 << 18  # bytes hashed at a time
+_SUMS = np.zeros(BLOCK + 1, np.uint64)  # kept, as fresh pages cost more than the sums; the first stays 0
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, 2 * len(_POW), SLICE_BYTES)
-        with np.errstate(over="ignore"):
-            base = np.full(size, _BASE, np.uint64)
-            inv = np.full(size, _BASE_INV, np.uint64)
-            base[0] = inv[0] = 1
-            _POW, _INV = np.multiply.accumulate(base), np.multiply.accumulate(inv)
-    return _POW, _INV
+def _powers(base: np.uint64) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+with np.errstate(over="ignore"):
+    _POW, _INV = _powers(_BASE), _powers(_BASE_INV)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,30 +99,71 @@ class Words:
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of non-empty byte spans, the same wherever the bytes stand."""
+    """64-bit hashes of non-empty byte spans in ascending order, the same wherever the bytes stand."""
     if len(start) == 0:
         return np.zeros(0, np.uint64)
-    global _SUMS
-    power, inverse = _powers(len(data) + 1)
-    if len(_SUMS) < len(power) + 1:
-        _SUMS = np.zeros(len(power) + 1, np.uint64)
-    total, terms = _SUMS[: len(data) + 1], _SUMS[1 : len(data) + 1]
+    size = (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
     with np.errstate(over="ignore"):
-        np.take(_TABLE, data, out=terms, mode="clip")
-        np.multiply(terms, power[: len(data)], out=terms)
-        np.cumsum(terms, out=terms)
-        h = (total[end] - total[start]) * inverse[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+        if len(data) <= BLOCK:
+            total = _totals(data)
+            return mix((total[end] - total[start]) * _INV[start] + size)
+        h, before = np.zeros(len(start), np.uint64), np.uint64(0)
+        for a in range(0, len(data), BLOCK):
+            b = min(a + BLOCK, len(data))
+            power, total = np.uint64(pow(int(_BASE), a, 1 << 64)), _totals(data[a:b])
+            ends, starts = np.searchsorted(end, [a + 1, b + 1]), np.searchsorted(start, [a, b])
+            h[slice(*ends)] += before + power * total[end[slice(*ends)] - a]
+            h[slice(*starts)] -= before + power * total[start[slice(*starts)] - a]
+            before = before + power * total[b - a]
+        for a in range(0, len(data), BLOCK):
+            starts = slice(*np.searchsorted(start, [a, a + BLOCK]))
+            h[starts] *= np.uint64(pow(int(_BASE_INV), a, 1 << 64)) * _INV[start[starts] - a]
+        return mix(h + size)
+
+
+def _totals(data: np.ndarray) -> np.ndarray:
+    """The hash's sum over the bytes before each place, of a block."""
+    terms = _SUMS[1 : len(data) + 1]
+    np.take(_TABLE, data, out=terms, mode="clip")
+    np.multiply(terms, _POW[: len(data)], out=terms)
+    np.cumsum(terms, out=terms)
+    return _SUMS[: len(data) + 1]
+
+
+def _wide(data: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+    """Marks signs outside ASCII as no part of words; the places before and after each character of scripts without spaces.
+
+    Signs: U+0080 to U+00BF but for the letters ª, µ and º, U+2000 to U+206F, U+3000 to U+303F, U+FE30 to U+FE6F and
+    U+FF00 to U+FF0F, with the other full-width signs up to U+FF65.  Scripts: Thai, Lao, Burmese, Khmer, Kana,
+    Chinese characters and their extensions.
+    """
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return lead
+    first = data[lead]
+    second = data[np.minimum(lead + 1, len(data) - 1)]
+    third = data[np.minimum(lead + 2, len(data) - 1)]
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    full = (first == 0xEF) & (((second == 0xBC) & ((third < 0x90) | ((third > 0x99) & (third < 0xA1)) | (third > 0xBA))) | ((second == 0xBD) & ((third < 0x81) | ((third > 0x9A) & (third < 0xA6)))))
+    sign = (first == 0xC2) & ~np.isin(second, (0xAA, 0xB5, 0xBA)) | (first == 0xE2) & (second <= 0x81) | (first == 0xE3) & (second == 0x80) | (first == 0xEF) & ((second == 0xB8) & (third >= 0xB0) | (second == 0xB9)) | full
+    for k in range(4):
+        at = lead[sign & (size > k)] + k
+        is_word[at[at < len(data)] + 1] = 0
+    alone = (first == 0xE0) & np.isin(second, (0xB8, 0xB9, 0xBA, 0xBB)) | (first == 0xE1) & np.isin(second, (0x80, 0x81, 0x82, 0x9E, 0x9F)) | (first >= 0xE3) & (first <= 0xE9) & ~sign | (first == 0xF0) & (second >= 0xA0) & (second <= 0xB3)
+    return np.concatenate([lead[alone], lead[alone] + size[alone]])
 
 
 def words(s: Slice, hashes: bool = True) -> Words:
-    """Maximal runs of ASCII letters, digits and non-ASCII bytes, row by row."""
+    """Maximal runs of letters and digits, row by row; of scripts without spaces, each character.
+
+    Letters are those of ASCII and all beyond it but for the signs that _wide() lists.
+    """
     n = len(s.data)
     is_word = np.zeros(n + 2, np.int8)
     np.take(WORD_BYTE, s.data, out=is_word[1:-1].view(bool), mode="clip")
+    inner = np.concatenate([s.offsets[1:-1], _wide(s.data, is_word)])
     flips = np.diff(is_word)
     start, end = np.flatnonzero(flips == 1), np.flatnonzero(flips == -1)
-    inner = s.offsets[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
     if len(inner):  # a row's end also ends a word
         cut = np.unique(inner[(is_word[inner] == 1) & (is_word[inner + 1] == 1)])

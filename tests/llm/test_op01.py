@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import op01_decontaminate as op
@@ -70,9 +71,79 @@ def test_awkward_rows(spark):
     table = docs(spark, [(1, None), (2, ""), (3, item), (3, item), (None, "x " + item), (4, "..."), (5, "two words"), (6, item + " " + "filler " * 50_000)])
     b = bench(spark, [(1, item), (1, item), (None, item), (2, None), (3, ""), (4, "two words")])
     got = rows(op.leaks(table, b).select("doc_id", "item_id", "score"))
-    assert got == sorted([(d, i, 1.0) for d in (3, None, 6) for i in (1, None)], key=repr)
+    assert got == sorted([(d, i, 1.0) for d in (3, None, 6) for i in (1, None)] + [(5, 4, 1.0)], key=repr)
     kept = op.clean(table, b)
-    assert kept.columns == table.columns and [r[0] for r in rows(kept.select("doc_id"))] == [1, 2, 4, 5]
+    assert kept.columns == table.columns and [r[0] for r in rows(kept.select("doc_id"))] == [1, 2, 4]
+
+
+def test_short_items_match_by_all_of_their_words(spark):
+    table = docs(spark, [(1, "see the two words here"), (2, "two other words"), (3, "one"), (4, "no ones"), (5, "the ONE, or so"), (6, "words two")])
+    got = rows(op.leaks(table, bench(spark, [(1, "Two words!"), (2, "one")])).select("doc_id", "item_id", "score"))
+    assert got == sorted([(1, 1, 1.0), (3, 2, 1.0), (5, 2, 1.0)], key=repr)
+
+
+def test_a_copy_without_the_rare_words_is_found(spark):
+    """18 common words and 3 rare ones, which the copy has changed."""
+    common = "the of and to in is that it for was on with as his they at be this".split()
+    item = [*common[:6], "zyx", *common[6:12], "wvu", *common[12:], "tsr"]
+    copy = ["other" if len(x) == 3 and x in ("zyx", "wvu", "tsr") else x for x in item]
+    rest = [" ".join(common[(k + 5 * j) % 18] for j in range(400)) for k in range(40)]
+    table = docs(spark, [*rest, (900, prose(1) + " " + " ".join(copy) + " " + prose(2)), (901, "tsr zyx wvu " + prose(3))])
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in op.leaks(table, bench(spark, [(1, " ".join(item))])).collect()}
+    assert got == {(900, 1): round(align_slow(item, copy) / 42, 4)} and got[900, 1] > 0.75
+
+
+def test_memory_does_not_grow_with_repeated_seeds():
+    """50 items of two words in turn against a text of nothing else."""
+    import tracemalloc
+
+    items = op.Items(list(range(50)), pa.array(["a b " * (8 + k % 5) for k in range(50)]))
+    items.seed(np.unique(items.words), np.full(2, 40_000.0), 80_000, op.RATE)
+    tracemalloc.start()
+    row, item, score = op.best_scores(pa.array(["a b " * 40_000, "b a"]), items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(item[row == 0]) == list(range(50)) and (score[row == 0] == 1).all() and peak < 400e6
+
+
+@pytest.mark.parametrize("hits", [1, 7, 1 << 19])
+def test_windows_are_the_union_of_those_around_each_seed(monkeypatch, hits):
+    monkeypatch.setattr(op, "_HITS", hits)
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        texts = [" ".join(rng.choice(list("abcd"), rng.integers(0, 30))) for _ in range(4)]
+        units = [" ".join(rng.choice(list("abcde"), rng.integers(0, 9))) for _ in range(3)]
+        items = op.Items([0, 1, 2], pa.array(units))
+        vocabulary = np.unique(items.words)
+        items.seed(vocabulary, np.ones(len(vocabulary)), 100, 1.0)  # every run is a seed
+        row, item, score = op.best_scores(pa.array(texts), items)
+        got = {(int(r), int(i)): float(s) for r, i, s in zip(row, item, score)}
+        for r, t in enumerate(texts):
+            for i, u in enumerate(units):
+                a, b = words(u), words(t)
+                k = min(3, len(a))
+                spans = []  # the stretch of the text around each run of words that both have
+                for x in range(len(a) - k + 1) if k else ():
+                    for y in range(len(b) - k + 1):
+                        if a[x : x + k] == b[y : y + k]:
+                            spans.append((max(0, y - x - len(a) // 2), y - x + len(a) + len(a) // 2))
+                merged = []
+                for lo, hi in sorted(spans):
+                    if merged and lo <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], hi)
+                    else:
+                        merged.append([lo, hi])
+                want = max((align_slow(a, b[lo:hi]) for lo, hi in merged), default=None)
+                assert got.get((r, i)) == (None if want is None else want / (2 * len(a)))
+
+
+def test_scripts_without_spaces_and_their_signs(spark):
+    item = "水の中に住む魚は何ですか。答えを選びなさい"
+    copy = "「水の中に住む鳥は何ですか、答えを選びなさい」"
+    table = docs(spark, [(1, "前の文。" + copy + "次の文"), (2, "山に住む鳥と花の名前を覚える"), (3, item)])
+    got = {r["doc_id"]: r["score"] for r in op.leaks(table, bench(spark, [(1, item)])).collect()}
+    a, b = list("水の中に住む魚は何ですか答えを選びなさい"), list("水の中に住む鳥は何ですか答えを選びなさい")
+    assert got == {1: round(align_slow(a, b) / (2 * len(a)), 4), 3: 1.0}
 
 
 @pytest.mark.parametrize("texts, items", [([], [(1, "a b c d")]), (["a b c d"], []), ([], [])])
