@@ -2,15 +2,18 @@
 
 A message's content is an array of parts (kind, text, ref, width, height, millis, pages).  The visitor has one
 method for each kind, each giving a Column for what stands in the text and, for attachments, how many tokens
-the placeholder expands to; the n-th placeholder of a conversation belongs to its n-th attachment.  Everything
-is built of Spark's own functions, so it runs inside generated code and SQL can check it.
+the placeholder expands to; the n-th placeholder of a conversation belongs to its n-th attachment.  So that no other
+text looks like one, every ``<|`` of a text or role becomes ``<\\|``, and a role called like a placeholder or like the
+end of a message gets an underscore in front.  Everything is built of Spark's own functions, so it runs inside
+generated code and SQL can check it.
 
 Cost at scale: one shuffle, of the formatted messages by conversation.
 
 Defined results.  Messages are ordered by turn (null first), then role, then text; messages that repeat stay.
 A null content, or a part of unknown kind, is left out; a null text, ref or number counts as empty, "" or 0,
 and an attachment expands to at least one token.  A null role is "unknown".  Messages without conv_id form one
-conversation.  Empty table: empty result.  Other columns are not read.
+conversation.  A conversation is one row, so its messages must fit one; very long texts are passed on whole.  Empty
+table: empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +25,15 @@ PART = "struct<kind:string,text:string,ref:string,width:int,height:int,millis:lo
 PATCH, FRAME_MS, PAGE_TOKENS = 28, 40, 512
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+
+
 class Visitor:
     """What each kind of part becomes: (text, tokens it expands to); tokens are null for plain text."""
 
     def text(self, part: Column) -> tuple[Column, Column]:
-        return F.coalesce(part["text"], F.lit("")), F.lit(None).cast("long")
+        return escaped(F.coalesce(part["text"], F.lit(""))), F.lit(None).cast("long")
 
     def image(self, part: Column) -> tuple[Column, Column]:
         side = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / PATCH)
@@ -56,7 +63,9 @@ def format_messages(messages: DataFrame, visitor: Visitor | None = None) -> Data
     flat = F.filter(F.transform(F.coalesce(F.col("content"), F.array().cast(f"array<{PART}>")), visitor.visit), lambda x: x.isNotNull())
     text = F.array_join(F.transform(F.col("_flat"), lambda x: x["text"]), "\n")
     held = F.transform(F.filter("_flat", lambda x: x["tokens"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["ref"].alias("ref"), x["tokens"].alias("tokens")))
-    return messages.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), flat.alias("_flat")).select("conv_id", "turn", "role", text.alias("text"), held.alias("attachments"))
+    role = escaped(F.coalesce("role", F.lit("unknown")))
+    role = F.when(role.isin(*[k for k in visitor.kinds if k != "text"], "end"), F.concat(F.lit("_"), role)).otherwise(role)
+    return messages.select("conv_id", "turn", role.alias("role"), flat.alias("_flat")).select("conv_id", "turn", "role", text.alias("text"), held.alias("attachments"))
 
 
 def format_chats(messages: DataFrame, visitor: Visitor | None = None) -> DataFrame:
@@ -86,16 +95,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", "prompt", F.size("attachments").cast("long").alias("n_attachments"), joined(lambda x: x["ref"]).alias("refs"), joined(lambda x: x["tokens"].cast("string")).alias("tokens"), F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("total_tokens"))
 
 
-SQL = """
+SQL = r"""
 WITH m AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text, conv_id * 7 + turn * 3 AS n, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS name FROM conversations
+  SELECT conv_id, turn, CASE WHEN role IN ('image', 'audio', 'document', 'end') THEN '_' || role ELSE replace(coalesce(role, 'unknown'), '<|', '<\|') END AS role, replace(coalesce(text, ''), '<|', '<\|') AS text, conv_id * 7 + turn * 3 AS n, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS name FROM conversations
 ), p AS (
   SELECT *, 0 AS k, '<|image|>' AS body, 'img/' || name || '.png' AS ref, CAST(greatest(ceil((n % 900 + 100) / 28.0) * ceil((n % 700 + 60) / 28.0), 1) AS BIGINT) AS tokens FROM m WHERE n % 5 = 0
   UNION ALL SELECT *, 1, text, NULL, NULL FROM m
   UNION ALL SELECT *, 2, '<|audio|>', 'snd/' || name || '.wav', CAST(greatest(ceil((n % 60000 + 1) / 40.0), 1) AS BIGINT) FROM m WHERE n % 7 = 0
   UNION ALL SELECT *, 3, '<|document|>', 'doc/' || name || '.pdf', CAST(greatest((n % 30) * 512, 1) AS BIGINT) FROM m WHERE n % 11 = 0
 ), message AS (
-  SELECT conv_id, turn, role, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || string_agg(body, chr(10) ORDER BY k) || '<|end|>' || chr(10) AS body,
+  SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || string_agg(body, chr(10) ORDER BY k) || '<|end|>' || chr(10) AS body,
     string_agg(ref, ',' ORDER BY k) AS refs, string_agg(CAST(tokens AS VARCHAR), ',' ORDER BY k) AS tokens, count(tokens) AS n, coalesce(sum(tokens), 0) AS total
   FROM p GROUP BY conv_id, turn, role, text
 )

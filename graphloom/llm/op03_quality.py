@@ -5,26 +5,29 @@ of the words are in a lexicon of words that toxic documents use and others don't
 A document is good if it was labelled quality 1 and toxic 0; one whose chance of that is under ``KEEP`` is
 rejected.
 
-Training uses a bounded sample: the ``SAMPLE`` labelled documents with the least hash of their doc_id.  It is
-done on the driver; scoring is one scan without a shuffle, in numpy over Arrow buffers.
-
-Defined results.  Null texts count as empty ones and are scored like them.  Rows that repeat are scored each.
-Labels that are null are left out; a document labelled twice takes the worse label.  Without labels of both
-kinds everything is kept with score 1.  Empty table: empty result.  Columns besides doc_id and text are
-passed on by keep() as they are, whatever their names.
+Training uses a bounded sample: the ``SAMPLE`` labelled documents with the least hash of their doc_id (equal hashes by
+the lesser doc_id), as far as their texts come to no more than ``SAMPLE_BYTES``.  It is done on the driver; scoring is
+one scan without a shuffle, in numpy over Arrow buffers.
+
+Defined results.  Null texts count as empty ones and are scored like them.  Rows that repeat are scored each; of a
+labelled document with several texts the least is learnt from.  Labels that are null are left out; a document labelled
+twice takes the worse label.  A score of just ``KEEP`` is kept.  Without labels of both kinds everything is kept with
+score 1.  Very long texts are scored whole, in slices of their own.  Empty table: empty result.  Columns besides
+doc_id and text are passed on by keep() as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut, discard
 from graphloom.llm import textbytes as tb
 from graphloom.llm import trees
 
-SAMPLE, KEEP = 8000, 0.5
+SAMPLE, SAMPLE_BYTES, KEEP = 8000, 64 << 20, 0.5
 LEAST_DOCS, LEAST_Z = 3, 4.0  # a lexicon word: in so many toxic documents, and so many deviations above its share
 
 _KIND = np.full(256, 4, np.int8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 sign, 5 newline, 6 full stop or comma, 7 not ASCII
@@ -132,13 +135,18 @@ class Model:
         return trees.chance(self.trees.sums(statistics(texts, self.lexicon)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> pa.Table:
-    """Up to ``rows`` labelled documents, by the least hashes of their doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> pa.Table:
+    """Up to ``rows`` labelled documents, by the least hashes of their doc_id, of no more than ``size`` bytes in all."""
     labels = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id"))
     labels = labels.agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t"))
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
     chosen = labels.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return texts.join(F.broadcast(chosen), "_id").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    found = cut(texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_q", "_t").agg(F.min("_text").alias("_text")))
+    upto = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(Window.orderBy(F.xxhash64("_id"), "_id"))  # of ``rows`` rows
+    fit = found.select("_id", upto.alias("_upto")).where(F.col("_upto") <= size).select("_id")
+    got = found.join(F.broadcast(fit), "_id", "left_semi").toArrow().sort_by("_id")
+    discard(found)
+    return got
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:

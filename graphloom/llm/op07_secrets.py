@@ -348,10 +348,12 @@ def redact(docs: DataFrame, least: float = LEAST, forest: trees.Flat | None = No
             row, first, size, _ = secrets(texts, paths, shared.value, least)
             if len(row):
                 new = {}
-                for k in np.lexsort((-first, row)):
-                    r = int(row[k])
-                    raw = new[r] if r in new else texts[r].as_py().encode()
-                    new[r] = raw[: first[k]] + MARK + raw[first[k] + size[k] :]
+                for r in np.unique(row).tolist():
+                    own, raw, pieces, at = row == r, texts[r].as_py().encode(), [], 0
+                    for a, n in zip(first[own].tolist(), size[own].tolist()):
+                        pieces += [raw[at:a], MARK]
+                        at = a + n
+                    new[r] = b"".join([*pieces, raw[at:]])
                 where = np.zeros(len(texts), bool)
                 where[list(new)] = True
                 fresh = [new[r].decode() for r in np.flatnonzero(where)]

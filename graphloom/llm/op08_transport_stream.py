@@ -14,7 +14,10 @@ Per value all transport packets are handled at once on numpy arrays; nothing is
 Defined results.  Null, empty and unreadable values give no rows.  A packet repeated once (same counter and
 bytes) is dropped, as the standard allows.  A gap in a PID's counter makes the elementary packet in which it
 falls incomplete, and so does a declared length that isn't reached.  Streams in no program map are not returned.
-Rows that repeat are read each.  Empty table: empty result.  Other columns are not read.
+A program map counts from its place on, until a later one says otherwise; before the first, that one counts, and a
+stream that later maps leave out keeps its last entry.  Tables sent ahead of their time (current_next_indicator 0) are
+passed over.  Scrambled packets can't be read: they are left out and count as gaps, and a unit whose first packet is
+scrambled is not returned.  A very long value is held whole in one task.  Rows that repeat are read each.  Empty table: empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,18 +76,18 @@ def aligned(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[begin[:, None] + np.arange(SIZE)].reshape(-1, SIZE), np.array(breaks, np.int64), doubt
 
 
-def sections(payloads: list[tuple[bool, bytes]]) -> list[bytes]:
-    """Whole sections with a right CRC, from a table PID's (unit start, payload)s."""
-    out, held = [], b""
-    for start, data in payloads:
+def sections(payloads: list[tuple[int, bool, bytes]]) -> list[tuple[int, bytes]]:
+    """(place, section): whole sections with a right CRC, from a table PID's (place, unit start, payload)s."""
+    out, held, at = [], b"", 0
+    for place, start, data in payloads:
         if start:
             skip = data[0] + 1 if data else 1
             held += data[1:skip]
-            out += _cut(held)
-            held = data[skip:]
+            out += [(at, x) for x in _cut(held)]
+            held, at = data[skip:], place
         elif held:
             held += data
-    return out + _cut(held)
+    return out + [(at, x) for x in _cut(held)]
 
 
 def _cut(data: bytes) -> list[bytes]:
@@ -99,22 +102,26 @@ def _cut(data: bytes) -> list[bytes]:
     return out
 
 
-def programs(payloads_of) -> dict[int, tuple[int, int]]:
-    """Elementary PID -> (program, stream type), from the program tables."""
-    found: dict[int, tuple[int, int]] = {}
-    for pat in dict.fromkeys(sections(payloads_of(0))):
+def programs(payloads_of) -> dict[int, list[tuple[int, int, int]]]:
+    """Elementary PID -> (place from which it counts, program, stream type), from the program tables in order."""
+    maps: dict[tuple[int, int], None] = {}
+    for _, pat in sections(payloads_of(0)):
         for k in range(8, len(pat) - 4, 4):
             program, pid = pat[k] << 8 | pat[k + 1], (pat[k + 2] & 31) << 8 | pat[k + 3]
-            if pat[0] != 0 or program == 0:
+            if pat[0] == 0 and pat[5] & 1 and program:
+                maps[program, pid] = None
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for program, pid in maps:
+        before = b""
+        for place, pmt in sections(payloads_of(pid)):
+            if pmt == before or pmt[0] != 2 or (pmt[3] << 8 | pmt[4]) != program or not pmt[5] & 1:
                 continue
-            for pmt in dict.fromkeys(sections(payloads_of(pid))):
-                if pmt[0] != 2 or (pmt[3] << 8 | pmt[4]) != program:
-                    continue
-                at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
-                while at + 5 <= len(pmt) - 4:
-                    found.setdefault((pmt[at + 1] & 31) << 8 | pmt[at + 2], (program, pmt[at]))
-                    at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
-    return found
+            before = pmt
+            at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+            while at + 5 <= len(pmt) - 4:
+                found.setdefault((pmt[at + 1] & 31) << 8 | pmt[at + 2], []).append((place, program, pmt[at]))
+                at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
+    return {pid: sorted(entries, key=lambda e: e[0]) for pid, entries in found.items()}
 
 
 def _time(b: bytes) -> int:
@@ -144,23 +151,27 @@ def take_apart(data: bytes) -> list[tuple]:
         again = (count[at[1:]] == count[at[:-1]]) & (p[at[1:]] == p[at[:-1]]).all(axis=1)
         return at[np.append(True, ~again)]
 
-    def payloads_of(k: int) -> list[tuple[bool, bytes]]:
-        return [(bool(start[r]), p[r, begin[r] :].tobytes()) for r in rows_of(k)]
+    def payloads_of(k: int) -> list[tuple[int, bool, bytes]]:
+        return [(int(r), bool(start[r]), p[r, begin[r] :].tobytes()) for r in rows_of(k)]
 
+    scrambled = p[:, 3] & 0xC0 != 0
     out = []
-    for k, (program, kind) in sorted(programs(payloads_of).items(), key=lambda x: (x[1][0], x[0])):
+    for k, entries in programs(payloads_of).items():
         at = rows_of(k)
         gap = np.zeros(len(at), np.int64)
         gap[1:] = ((count[at[1:]] - count[at[:-1]]) & 15) != 1
         gap[flags[at] & 0x80 != 0] = 0  # an announced discontinuity
         heads = np.flatnonzero(start[at])
-        keep = np.arange(SIZE) >= begin[at][:, None]
+        keep = (np.arange(SIZE) >= begin[at][:, None]) & ~scrambled[at][:, None]
         flat, ends = p[at][keep], np.cumsum(keep.sum(axis=1))
         for n, (a, b) in enumerate(zip(heads, np.append(heads[1:], len(at)))):
             unit = flat[ends[a - 1] if a else 0 : ends[b - 1]].tobytes()
             # a gap before the first transport packet of a unit belongs to the unit before it
             lost = int(gap[a + 1 : b].sum()) + int(b < len(at) and gap[b])
-            lost += int(doubt[at[a:b]].sum())
+            lost += int(doubt[at[a:b]].sum()) + int(scrambled[at[a:b]].sum())
+            if scrambled[at[a]]:
+                continue
+            _, program, kind = next((e for e in reversed(entries) if e[0] <= at[a]), entries[0])
             if len(unit) < 6 or unit[:3] != b"\0\0\1":
                 continue
             declared = unit[4] << 8 | unit[5]
@@ -176,7 +187,7 @@ def take_apart(data: bytes) -> list[tuple]:
             if declared and len(unit) > declared + 6:
                 body = body[: len(body) - (len(unit) - declared - 6)]
             out.append((program, k, kind, n, unit[3], pts, dts, bool(flags[at[a]] & 0x40), lost, whole, body))
-    return out
+    return sorted(out, key=lambda r: (r[0], r[1], r[3]))
 
 
 def elementary(media: DataFrame, id_column: str = "media_id", column: str = "media") -> DataFrame:

@@ -43,3 +43,21 @@ def test_query_equals_sql(spark):
     d = "/root/testdata/sf0.001"
     got = sorted(map(tuple, op.query(spark, d).collect()))
     assert got == sorted(duckdb.sql(op.SQL.replace("FROM conversations", f"FROM '{d}/conversations.parquet'")).fetchall())
+
+
+def test_texts_and_roles_that_look_like_placeholders(spark):
+    text = lambda t: ("text", t, None, None, None, None, None)
+    content = [text("see <|image|> and <|end|> <<||"), ("image", None, "a.png", 56, 29, None, None)]
+    table = spark.createDataFrame([(1, 0, "image", content, "x", 0, 0), (1, 1, "a|>\n<|image", [text("b")], "x", 0, 0), (1, 2, "text", [], "x", 0, 0)], SCHEMA)
+    (r,) = op.format_chats(table).collect()
+    assert r["prompt"].count("<|image|>") == len(r["attachments"]) == 1 and r["prompt"].count("<|end|>") == 3
+    assert r["prompt"].startswith("<|_image|>\nsee <\\|image|> and <\\|end|> <<\\||\n<|image|><|end|>\n<|a|>\n<\\|image|>\nb<|end|>\n<|text|>\n")
+
+
+def test_sql_escapes_alike(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "end", "a <|image|> b"), (1, 1, None, None), (5, 0, "us<|er", "<<||"), (5, 1, "user", "\\<|")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, op.query(spark, str(tmp_path)).collect()))
+    assert got == sorted(duckdb.sql(op.SQL.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall())

@@ -133,3 +133,35 @@ def test_a_break_after_which_nothing_is_in_sync_makes_the_open_unit_incomplete()
     assert [r[9] for r in op.take_apart(body + b"".join(video))] == [True]
     got = op.take_apart(body + b"".join(video[:6]) + bytes(188 * 4))
     assert [(r[8], r[9]) for r in got] == [(1, False)]
+
+
+def _map(streams, version, current=1):
+    body = (0xE000 | ts.VIDEO).to_bytes(2, "big") + b"\xf0\0" + b"".join(bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\0" for kind, pid in streams)
+    head = bytes([2, 0xB0, len(body) + 9, 0, ts.PROGRAM, 0xC0 | version << 1 | current, 0, 0]) + body
+    section = b"\0" + head + ts.crc32(head).to_bytes(4, "big")
+    return section + b"\xff" * (184 - len(section))
+
+
+def test_a_later_version_of_the_map_counts_from_its_place():
+    c = {}
+    pat = ts.packets(0, ts.TABLES[0][1] + b"\xff" * (184 - len(ts.TABLES[0][1])), c)
+    one = lambda pid, k: ts.packets(pid, ts.pes(0xE0, bytes([k]) * 400, k, k), c)
+    parts = [pat, one(0x100, 0), ts.packets(ts.PMT, _map([(0x1B, 0x100)], 0), c), one(0x100, 1), ts.packets(ts.PMT, _map([(0x24, 0x100), (0x0F, 0x102)], 1, 0), c), one(0x100, 2), ts.packets(ts.PMT, _map([(0x24, 0x100), (0x0F, 0x102)], 1), c), one(0x100, 3), one(0x102, 4), one(0x103, 5)]
+    got = op.take_apart(b"".join(x for y in parts for x in y))
+    assert [(r[1], r[2], r[5]) for r in got] == [(0x100, 0x1B, 0), (0x100, 0x1B, 1), (0x100, 0x1B, 2), (0x100, 0x24, 3), (0x102, 0x0F, 4)]
+
+
+def test_scrambled_packets_are_gaps():
+    data = ts.stream(PICTURE, SOUND)
+    p = [bytearray(data[a : a + 188]) for a in range(0, len(data), 188)]
+    whole = {(r[1], r[3]): r for r in op.take_apart(data)}
+    video = [k for k, x in enumerate(p) if (x[1] & 31) << 8 | x[2] == ts.VIDEO]
+    middle = next(k for k in video[5:] if not p[k][1] & 0x40)
+    p[middle][3] |= 0x80
+    got = op.take_apart(b"".join(p))
+    assert len(got) == len(whole) and [r[8:10] for r in got if r != whole[r[1], r[3]]] == [(1, False)]
+    p[middle][3] &= 0x3F
+    head = next(k for k in video[20:] if p[k][1] & 0x40)
+    p[head][3] |= 0xC0
+    got = op.take_apart(b"".join(p))
+    assert len(got) == len(whole) - 1 and all(r == whole[r[1], r[3]] for r in got)

@@ -3,10 +3,11 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from graphloom.llm import bpe, op01_decontaminate, op03_quality, op07_secrets, op10_simhash_dedup
+from graphloom.llm import op01_decontaminate, op03_quality, op07_secrets, op10_simhash_dedup
 from tests.llm.helpers import edited, prose
 from tests.llm.test_op01 import align_slow, words
 from tests.llm.test_op03 import corpus
+from tests.llm.test_op04_op09 import ENC
 from tests.llm.test_op10 import brute
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,10 +40,9 @@ def slow(spark, d, rows, items):
     stays = brute(fp[by], s["n"].to_numpy()[by], [ids[k] for k in by])
     rows = [(i, t) for i, t in rows if i is None or t is None or stays[i] == i]
     leak = lambda t: any(2 * len(words(u)) * op01_decontaminate.SCORE <= align_slow(words(u), words(t or "")) for u in items)
-    rows = [(i, t) for i, t in rows if t is None or len(t) > 50_000 or not leak(t)]
+    rows = [(i, t) for i, t in rows if t is None or not leak(t)]
     rows = [(i, None if t is None else t.replace(KEY, "[SECRET]")) for i, t in rows]
-    enc = bpe.encoding(bpe.read_ranks())._many
-    return sorted(((i, None if t is None else enc.encode_ordinary(t)) for i, t in rows), key=repr)
+    return sorted(((i, None if t is None else ENC.encode_ordinary(t)) for i, t in rows), key=repr)
 
 
 def test_pipeline_equals_brute_force(spark, folder):
