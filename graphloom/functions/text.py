@@ -8,11 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.schemas import MAX_CHAIN, TYPE_CONTAINERS
+from graphloom.schemas import TYPE_CONTAINERS
 
 KEYWORDS = ("if", "for", "while", "switch", "catch")
 _WORD = "[A-Za-z0-9_]"
-MAX_SEGMENTS = 64
 
 
 def _c(x: Column | str) -> Column:
@@ -62,16 +61,18 @@ def import_kind(path: Column | str) -> Column:
     return F.when(p.isin("std", "builtin"), "stdlib").when(p.endswith(".zig"), "project_file").otherwise("unknown")
 
 
-def resolve_import(importer: Column | str, path: Column | str) -> Column:
-    """The path from the importer's folder, normalised; null above the root, for nothing, or beyond 64 segments."""
+def resolve_import(importer: Column | str, path: Column | str, limit: int | None = None) -> Column:
+    """The path from the importer's folder, normalised; null above the root, for nothing, or beyond ``limit`` segments."""
     here, to = _c(importer), _c(path)
     folder = F.when(here.contains("/"), F.regexp_replace(here, "/[^/]*$", "")).otherwise("")
     parts = F.filter(F.split(F.concat_ws("/", folder, to), "/"), lambda x: (x != "") & (x != "."))
     start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(True).alias("ok"))
 
+    fits = (lambda n: n < limit) if limit else (lambda n: F.lit(True))
+
     def step(acc: Column, x: Column) -> Column:
         up = F.struct(F.slice(acc["path"], 1, F.greatest(F.size(acc["path"]) - 1, F.lit(0))).alias("path"), (acc["ok"] & (F.size(acc["path"]) > 0)).alias("ok"))
-        return F.when(x == "..", up).otherwise(F.struct(F.concat(acc["path"], F.array(x)).alias("path"), (acc["ok"] & (F.size(acc["path"]) < MAX_SEGMENTS)).alias("ok")))
+        return F.when(x == "..", up).otherwise(F.struct(F.concat(acc["path"], F.array(x)).alias("path"), (acc["ok"] & fits(F.size(acc["path"]))).alias("ok")))
 
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["ok"] & (F.size(acc["path"]) > 0) & (F.length(to) > 0), F.array_join(acc["path"], "/")))
 
@@ -130,16 +131,18 @@ def dotted_chains(text: Column | str, alias: str = "std") -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, r"\.+$", ""))
 
 
-def chain_concat(a: Column | str, b: Column | str) -> Column:
-    return F.slice(F.concat(_c(a), _c(b)), 1, MAX_CHAIN)
+def chain_concat(a: Column | str, b: Column | str, limit: int | None = None) -> Column:
+    both = F.concat(_c(a), _c(b))
+    return F.slice(both, 1, limit) if limit else both
 
 
 def return_type(signature: Column | str) -> Column:
     """Segments of the type after the last ``)``, without error set, pointers, optionals and const."""
-    t = F.trim(F.regexp_replace(_c(signature), r"(?s)^.*\)", ""))
-    t = F.regexp_replace(t, r"(?s)^[^!]*!", "")
-    t = F.regexp_replace(t, r"^[*?\s]*(?:const\s+)?", "")
-    return F.filter(F.split(F.trim(t), r"\."), lambda x: x.rlike(r"^[A-Za-z_]\w*$"))
+    t = F.trim(F.regexp_extract(_c(signature), r"(?s)\)([^)]*)$", 1))
+    t = F.when(t.contains("!"), F.regexp_replace(t, r"(?s)^[^!]*!", "")).otherwise(t)
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.trim(t), r"^[*?]+", ""), r"^const\s+", ""))
+    parts = F.transform(F.split(t, r"\."), lambda x: F.regexp_extract(x, r"^\s*([A-Za-z0-9_]+)", 1))
+    return F.filter(parts, lambda x: x != "")
 
 
 def content_hash(content: Column | str) -> Column:

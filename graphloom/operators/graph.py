@@ -3,33 +3,51 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.checkpoints import cut, discard
-from graphloom.schemas import MAX_HOPS
 
 Direction = Literal["out", "in", "both"]
 KEY = ("source_id", "target_id", "edge_type")
 
 
-def dense_ids(df: DataFrame, order: list, name: str = "id", start: Column | int = 0) -> DataFrame:
-    """Consecutive numbers in a total order, counted by range partitions: no task sees more than its part.
+def running_sum(df: DataFrame, order: list, amount: Column | int, name: str, start: Column | int = 0) -> DataFrame:
+    """df with ``name``: start and the sum of ``amount`` over all rows before, in a total order.
 
-    Rows are range-partitioned on the order and numbered in each part; the parts' sizes, one row for each,
-    are summed on the driver.
+    Rows are written, then range-partitioned on the order and summed in each part: no task sees more than its part,
+    and what df is made of is evaluated once.  The parts' sums, one row for each, are added up on the driver.
     """
-    spark = df.sparkSession
-    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()))
-    sizes = sorted((r["_part"], r["n"], r["lo"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n"), F.min("_seq").alias("lo")).collect())
+    spark, once = df.sparkSession, cut(df)
+    each = once.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.lit(amount).cast("long"))
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut(each.withColumn("_upto", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    discard(once)
+    rows, at = [], 0
+    for r in parts.groupBy("_part").agg(F.sum("_n").alias("n")).orderBy("_part").collect():
+        rows.append((r["_part"], at))
+        at += r["n"]
+    base = spark.createDataFrame(rows, "_part int, _base long")
+    out = parts.join(F.broadcast(base), "_part").withColumn(name, F.col("_upto") + F.col("_base") + F.lit(start))
+    return out.drop("_part", "_n", "_upto", "_base")
+
+
+def dense_ids(df: DataFrame, order: list, name: str = "id", start: Column | int = 0) -> DataFrame:
+    """Consecutive numbers in a total order; a row's place in its part comes from the sort and takes no window."""
+    spark, once = df.sparkSession, cut(df)
+    parts = once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = cut(parts.withColumn("_seq", F.monotonically_increasing_id()))
+    discard(once)
     rows, at = [], 0
-    for part, n, lo in sizes:
-        rows.append((part, at - lo))
-        at += n
-    offsets = spark.createDataFrame(rows, "_part int, _shift long")
-    return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_seq") + F.col("_shift") + F.lit(start)).drop("_part", "_seq", "_shift")
+    for r in parts.groupBy("_part").agg(F.count("*").alias("n"), F.min("_seq").alias("lo")).orderBy("_part").collect():
+        rows.append((r["_part"], at - r["lo"]))
+        at += r["n"]
+    base = spark.createDataFrame(rows, "_part int, _base long")
+    out = parts.join(F.broadcast(base), "_part").withColumn(name, F.col("_seq") + F.col("_base") + F.lit(start))
+    return out.drop("_part", "_seq", "_base")
 
 
 def dedup_edges(edges: DataFrame, order: str = "edge_id") -> DataFrame:
@@ -50,6 +68,12 @@ def edge_keys(edges: DataFrame) -> DataFrame:
     return edges.select(*KEY).distinct()
 
 
+def held_edges(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (source_id, target_id, edge_type) with held: whether there is such an edge."""
+    have = edge_keys(edges).withColumn("held", F.lit(True))
+    return wanted.join(have, [*KEY], "left").select(*wanted.columns, F.coalesce("held", F.lit(False)).alias("held"))
+
+
 def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are nodes."""
     ids = nodes.select("id")
@@ -105,42 +129,46 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def csr_offsets(degrees: DataFrame, column: str = "out_degree") -> DataFrame:
-    """degrees with ``offset``: the sum over all lesser ids; partial sums by ranges of ids, then inside each."""
-    ranged = cut(degrees.repartitionByRange("id").withColumn("_part", F.spark_partition_id()))
-    before, rows = 0, []
-    for r in sorted(ranged.groupBy("_part").agg(F.sum(column).alias("n")).collect(), key=lambda r: r["_part"]):
-        rows.append((r["_part"], before))
-        before += r["n"]
-    base = degrees.sparkSession.createDataFrame(rows, "_part int, _base long")
-    inside = F.coalesce(F.sum(column).over(Window.partitionBy("_part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("offset", inside).join(F.broadcast(base), "_part").withColumn("offset", (F.col("offset") + F.col("_base")).cast("long")).drop("_part", "_base")
-
-
-def ancestors(nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(id, ancestor, hops) over the parent chain, by doubling: a chain of d hops takes log2(d) rounds."""
+    """degrees with ``offset``: the sum over all lesser ids."""
+    return running_sum(degrees, ["id"], F.col(column), "offset")
+
+
+def ancestors(nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(id, ancestor, hops) over the parent chain, by doubling: a chain of d hops takes log2(d) rounds.
+
+    A node that is its own ancestor is an error; with max_hops, no more hops are taken.
+    """
     step = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("hops"))
     step = cut(step.join(nodes.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", "hops"))
     reach, far = step, step
     length = 1
-    while length < max_hops:
+    while max_hops is None or length < max_hops:
         onward = reach.select(F.col("id").alias("_m"), F.col("ancestor").alias("_a"), F.col("hops").alias("_h"))
-        more = cut(far.join(onward, F.col("ancestor") == F.col("_m")).select("id", F.col("_a").alias("ancestor"), (F.col("hops") + F.col("_h")).alias("hops")).where(F.col("hops") <= max_hops))
+        more = far.join(onward, F.col("ancestor") == F.col("_m")).select("id", F.col("_a").alias("ancestor"), (F.col("hops") + F.col("_h")).alias("hops"))
+        more = cut(more if max_hops is None else more.where(F.col("hops") <= max_hops))
         length *= 2
         if more.isEmpty():
             break
+        if max_hops is None and not more.where("id = ancestor").isEmpty():
+            raise ValueError("a node is its own ancestor")
         reach = reach.unionAll(more)
         # the ends from which the next round goes on are exactly ``length`` hops up
         far = more.where(F.col("hops") == length)
     return reach
 
 
-def owning(nodes: DataFrame, kind: str = "file", max_hops: int = MAX_HOPS) -> DataFrame:
-    """(id, owner): the nearest node of ``kind`` at or above each node, null if there is none; by pointer jumping."""
+def owning(nodes: DataFrame, kind: str = "file", max_hops: int | None = None) -> DataFrame:
+    """(id, owner): the nearest node of ``kind`` at or above each node, null if there is none; by pointer jumping.
+
+    Without max_hops, as many as there are nodes, so nodes on a cycle have no owner.
+    """
     at = cut(nodes.select("id", F.when(F.col("kind") == kind, F.col("id")).otherwise(F.col("parent_id")).alias("p"), (F.col("kind") == kind).alias("done")))
-    hops = 1
-    while hops < max_hops:
+    hops, most = 1, max_hops or at.count()
+    while hops < most:
         up = at.select(F.col("id").alias("_id"), F.col("p").alias("_p"), F.col("done").alias("_done"))
-        after = cut(at.join(up, (F.col("p") == F.col("_id")) & ~F.col("done"), "left").select("id", F.when(F.col("done"), F.col("p")).otherwise(F.col("_p")).alias("p"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")))
+        after = at.join(up, (F.col("p") == F.col("_id")) & ~F.col("done"), "left")
+        done = F.col("done") | F.coalesce("_done", F.lit(False))
+        after = cut(after.select("id", F.when(F.col("done"), F.col("p")).otherwise(F.col("_p")).alias("p"), done.alias("done")))
         discard(at)
         at, hops = after, hops * 2
         if at.where("not done and p is not null").isEmpty():
@@ -189,51 +217,27 @@ def cross_summary_text(summary: DataFrame) -> DataFrame:
 def topological_levels(items: DataFrame, depends: DataFrame) -> DataFrame:
     """(id, level): 0 without dependencies, else one more than the highest of those; null on or behind a cycle.
 
-    depends: (id, on).  Repeats and self-dependencies count for nothing.  Peels a level at a round, each a join
-    and an aggregation over what is left.
+    depends: (id, on).  Repeats and self-dependencies count for nothing.  Each round takes the items that are free,
+    and lowers the count of open dependencies of those that depend on them; one table is written, of what is left.
     """
     ids = items.select("id").distinct()
     links = depends.where("id <> on").select("id", "on").distinct()
     links = cut(links.join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "on"), "on", "left_semi").select("id", "on"))
-    left, done, level = cut(ids), None, 0
-    while True:
-        free = cut(left.join(links, "id", "left_anti").select("id", F.lit(level).alias("level")))
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionAll(free)
-        left = cut(left.join(free, "id", "left_anti"))
-        links = cut(links.join(free.select(F.col("id").alias("on")), "on", "left_anti"))
+    need = links.groupBy("id").agg(F.count("*").alias("need"))
+    left = cut(ids.join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")))
+    tables, level = [left], 0
+    while not left.where("need = 0").isEmpty():
+        free = left.where("need = 0").select(F.col("id").alias("on"))
+        met = links.join(free, "on").groupBy("id").agg(F.count("*").alias("met"))
+        rest = left.where("need > 0").join(met, "id", "left")
+        left = cut(rest.select("id", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")))
+        tables.append(left)
         level += 1
-    stuck = left.select("id", F.lit(None).cast("int").alias("level"))
-    return stuck if done is None else done.unionAll(stuck)
-
-
-def topological_order(files: DataFrame, depends: DataFrame) -> list:
-    """Kahn's order of files (id, path): importees first; ready files by path, files on or behind cycles last, by path.
-
-    The import graph has a row for each pair of files, so it is ordered on the driver; topological_levels is
-    the way for graphs of any size.
-    """
-    import heapq
-
-    paths = {r["id"]: r["path"] for r in files.select("id", "path").collect()}
-    need: dict = {k: 0 for k in paths}
-    users: dict = {k: [] for k in paths}
-    for r in depends.select("id", "on").collect():
-        if r["id"] != r["on"] and r["id"] in paths and r["on"] in paths:
-            need[r["id"]] += 1
-            users[r["on"]].append(r["id"])
-    ready = [(paths[k], k) for k, n in need.items() if n == 0]
-    heapq.heapify(ready)
-    out = []
-    while ready:
-        _, k = heapq.heappop(ready)
-        out.append(k)
-        for u in users[k]:
-            need[u] -= 1
-            if need[u] == 0:
-                heapq.heappush(ready, (paths[u], u))
-    return out + sorted((k for k in paths if need[k] > 0), key=lambda k: paths[k])
+    done = [t.where("need = 0").select("id", F.lit(k).alias("level")) for k, t in enumerate(tables[:-1])]
+    out = cut(reduce(DataFrame.unionAll, done, left.select("id", F.lit(None).cast("int").alias("level"))))
+    for table in (links, *tables):
+        discard(table)
+    return out
 
 
 def phantoms(names: DataFrame) -> DataFrame:
@@ -317,14 +321,38 @@ class CodeGraph:
         return found.orderBy("id").limit(1)
 
     def has_edge(self, source: int, target: int, edge_type: str, origin: str | None = None) -> bool:
-        hit = self.edges.where((F.col("source_id") == source) & (F.col("target_id") == target) & (F.col("edge_type") == edge_type))
-        return not (hit if origin is None else hit.where(F.col("source") == origin)).isEmpty()
+        edges = self.edges if origin is None else self.edges.where(F.col("source") == origin)
+        wanted = edges.sparkSession.createDataFrame([(source, target, edge_type)], "source_id long, target_id long, edge_type string")
+        return held_edges(edges, wanted).first()["held"]
+
+    def save(self, path: str) -> int:
+        """A new generation of the graph as Parquet, and its number; older ones stay, and so do graphs opened from them."""
+        n = max(CodeGraph.generations(self.nodes.sparkSession, path), default=-1) + 1
+        self.nodes.write.parquet(f"{path}/generation-{n:06d}/nodes")
+        self.edges.write.parquet(f"{path}/generation-{n:06d}/edges")
+        return n
 
-    def save(self, path: str) -> None:
-        """A generation of the graph as Parquet: path/nodes and path/edges."""
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        self.edges.write.mode("overwrite").parquet(f"{path}/edges")
+    @staticmethod
+    def generations(spark, path: str) -> list[int]:
+        """The generations at a path that were written whole: edges are written last."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/generation-*/edges/_SUCCESS")
+        found = at.getFileSystem(conf).globStatus(at) or []
+        return sorted(int(s.getPath().getParent().getParent().getName().rsplit("-", 1)[1]) for s in found)
+
+    @staticmethod
+    def prune(spark, path: str, keep: int = 1) -> None:
+        """Delete all generations but the latest ``keep``; no graph opened from the others may be in use."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for n in CodeGraph.generations(spark, path)[: -keep or None]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/generation-{n:06d}")
+            at.getFileSystem(conf).delete(at, True)
 
     @staticmethod
-    def open(spark, path: str) -> CodeGraph:
-        return CodeGraph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    def open(spark, path: str, generation: int | None = None) -> CodeGraph:
+        """The graph of a generation, of the latest unless one is given."""
+        have = CodeGraph.generations(spark, path)
+        if not have or generation not in (None, *have):
+            raise FileNotFoundError(f"no such generation of a graph at {path}")
+        at = f"{path}/generation-{have[-1] if generation is None else generation:06d}"
+        return CodeGraph(spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges"))

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import ancestors
-
 
 def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (resolved, raw, ...) with file_id: the file at the resolved path, else at the raw one, else null."""
@@ -17,16 +15,18 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(one, "resolved", "left").join(two, "raw", "left").withColumn("file_id", F.coalesce("_a", "_b")).drop("_a", "_b")
 
 
-def narrowest(wanted: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+def narrowest(wanted: DataFrame, members: DataFrame, up: DataFrame) -> DataFrame:
     """wanted (caller, name) with found: the first member of that name in the narrowest scope at or above the caller.
 
-    An aggregation by (hops, id) picks the match, so nothing is sorted and partial results combine early.
+    up: ancestors of the callers (id, ancestor, hops).  An aggregation by (hops, id) picks the match, so nothing is
+    sorted and partial results combine early.
     """
-    up = ancestors(nodes).select(F.col("id").alias("caller"), F.col("ancestor").alias("scope"), "hops")
-    own = wanted.select("caller").distinct().select("caller", F.col("caller").alias("scope"), F.lit(0).alias("hops"))
-    scopes = own.unionByName(up.join(wanted.select("caller").distinct(), "caller", "left_semi"))
-    m = members.select(F.col("parent_id").alias("scope"), "name", F.col("id").alias("found")).where("scope is not null")
-    hits = wanted.select("caller", "name").distinct().join(scopes, "caller").join(m, ["scope", "name"])
+    wanted = wanted.select("caller", "name").distinct()
+    own = wanted.select("caller").distinct()
+    above = up.select(F.col("id").alias("caller"), F.col("ancestor").alias("scope"), "hops").join(own, "caller", "left_semi")
+    scopes = own.select("caller", F.col("caller").alias("scope"), F.lit(0).alias("hops")).unionByName(above)
+    m = members.where("parent_id is not null").groupBy(F.col("parent_id").alias("scope"), "name").agg(F.min("id").alias("found"))
+    hits = wanted.join(scopes, "caller").join(m, ["scope", "name"])
     best = hits.groupBy("caller", "name").agg(F.min(F.struct("hops", "found")).alias("b"))
     return best.select("caller", "name", F.col("b.found").alias("found"), "b.hops")
 
@@ -42,12 +42,6 @@ def cascade(branches: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return reduce(lambda c, b: c.when(*b), rest, F.when(first, value)).otherwise(otherwise)
 
 
-def first_by(rows: DataFrame, keys: list[str], order: list, limit: int = 1) -> DataFrame:
-    """Up to ``limit`` rows for each key, in an explicit order."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_k", n).where(F.col("_k") <= limit).drop("_k")
-
-
 def containing(points: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
     """points (pid, file_id, line) with id: the first range (by id) of the file with line_start <= line <= line_end.
 

@@ -26,7 +26,9 @@ UNION ALL SELECT DISTINCT CAST(substring(p_brand, 7, 3) AS BIGINT) + 7000000000,
 RAW_EDGES = """
 SELECT l_orderkey + 4000000000 AS source_id, l_partkey + 6000000000 AS target_id, 'uses_type' AS edge_type, concat('line', CAST(l_linenumber AS STRING)) AS source, CAST(l_linenumber AS BIGINT) AS ord FROM {lineitem}
 UNION ALL SELECT o_custkey + 3000000000, l_suppkey + 5000000000, 'calls', concat('line', CAST(l_linenumber AS STRING)), CAST(l_linenumber AS BIGINT) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-UNION ALL SELECT DISTINCT CAST(a.n_regionkey AS BIGINT) + 1000000000, CAST(b.n_regionkey AS BIGINT) + 1000000000, 'imports', 'phantom', CAST(0 AS BIGINT) FROM {customer} JOIN {nation} a ON c_nationkey = a.n_nationkey JOIN {supplier} ON s_suppkey % 50 = c_custkey % 50 JOIN {nation} b ON s_nationkey = b.n_nationkey
+UNION ALL SELECT DISTINCT x.region + 1000000000, y.region + 1000000000, 'imports', 'phantom', CAST(0 AS BIGINT)
+  FROM (SELECT DISTINCT c_custkey % 50 AS k, CAST(n_regionkey AS BIGINT) AS region FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey) x
+  JOIN (SELECT DISTINCT s_suppkey % 50 AS k, CAST(n_regionkey AS BIGINT) AS region FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey) y ON x.k = y.k
 """
 
 
@@ -68,5 +70,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_edges(raw_edges(spark, sf_dir), "ord").withColumn("edge_id", F.expr(EDGE_ID)).drop("ord")
 
 
-EDGE_ID = "(source_id % 1000000000) * 1000000 + target_id % 1000000 + CASE edge_type WHEN 'calls' THEN 0 WHEN 'imports' THEN 1000000000000000000 ELSE 2000000000000000000 END"
+#: 2 bits of the type and 30 of each end's key, which together are unique.
+EDGE_ID = """(source_id % 1000000000) * 1073741824 + target_id % 1000000000
+  + CASE edge_type WHEN 'calls' THEN 0 WHEN 'imports' THEN 1152921504606846976 ELSE 2305843009213693952 END"""
 EDGES = f"SELECT *, {EDGE_ID} AS edge_id FROM (SELECT source_id, target_id, edge_type, min(source) AS source FROM ({RAW_EDGES}) x WHERE source_id <> target_id GROUP BY source_id, target_id, edge_type) y"

@@ -1,41 +1,20 @@
 """Operators as queries over the test tables, with SQL of the same meaning where SQL can say it.
 
-Extraction from sources, chain walking, the indexer and the whole compact listing have tests but no query.
+Extraction from sources and name resolution are in ``extraction``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import graph as G
 from graphloom.plans import adapters as A
-from graphloom.plans.adapters import EDGES, NODES, RAW_EDGES, duck
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
+from graphloom.plans import extraction
+from graphloom.plans.registry import ORACLES, QUERIES, query
 
-def query(oracle: str | None = None):
-    """Register a function of (spark, sf_dir); the oracle may use the CTEs n (nodes), r (raw edges) and e (edges)."""
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            used = [f"{k} AS ({duck(v)})" for k, v in (("n", NODES), ("r", RAW_EDGES), ("e", EDGES)) if f" {k} " in f" {oracle} ".replace("\n", " ").replace(")", " ").replace(",", " ")]
-            body = oracle.strip()
-            recursive = body.upper().startswith("WITH RECURSIVE")
-            if recursive:
-                body = ", " + body[len("WITH RECURSIVE") :] if used else body[len("WITH RECURSIVE") :]
-            elif body.upper().startswith("WITH") and used:
-                body = ", " + body[4:]
-            head = ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(used) + " " if used or recursive else ""
-            ORACLES[f.__name__] = head + body
-        return f
-
-    return add
+__all__ = ["ORACLES", "QUERIES", "extraction"]
 
 
 def _table(spark, d, name) -> DataFrame:
@@ -91,9 +70,9 @@ def semi_join_dangling(spark, d):
 # lookups: whole tables of keys, joined, never one id at a time
 
 
-@query("SELECT id, name, kind FROM n WHERE id IN (SELECT target_id FROM e WHERE edge_type = 'imports')")
+@query("SELECT id, name, kind FROM n WHERE id IN (SELECT target_id FROM e )")
 def get_node(spark, d):
-    return G.node(A.nodes(spark, d), A.edges(spark, d).where("edge_type = 'imports'").select(F.col("target_id").alias("id"))).select("id", "name", "kind")
+    return G.node(A.nodes(spark, d), A.edges(spark, d).select(F.col("target_id").alias("id"))).select("id", "name", "kind")
 
 
 @query("SELECT id, parent_id, name FROM n WHERE parent_id IN (SELECT id FROM n WHERE kind = 'type_def')")
@@ -107,19 +86,29 @@ def parent_of(spark, d):
     return G.parents(A.nodes(spark, d)).fillna(-1, ["parent_id"])
 
 
-@query("SELECT source_id, target_id, edge_id FROM e WHERE source_id IN (SELECT id FROM n WHERE kind = 'function')")
+@query("SELECT source_id, target_id, edge_id FROM e WHERE source_id IN (SELECT id FROM n )")
 def out_edges(spark, d):
-    return G.out_edges(A.edges(spark, d), A.nodes(spark, d).where("kind = 'function'")).select("source_id", "target_id", "edge_id")
+    return G.out_edges(A.edges(spark, d), A.nodes(spark, d)).select("source_id", "target_id", "edge_id")
 
 
-@query("SELECT source_id, target_id, edge_id FROM e WHERE target_id IN (SELECT id FROM n WHERE kind = 'constant')")
+@query("SELECT source_id, target_id, edge_id FROM e WHERE target_id IN (SELECT id FROM n )")
 def in_edges(spark, d):
-    return G.in_edges(A.edges(spark, d), A.nodes(spark, d).where("kind = 'constant'")).select("source_id", "target_id", "edge_id")
+    return G.in_edges(A.edges(spark, d), A.nodes(spark, d)).select("source_id", "target_id", "edge_id")
 
 
-@query("SELECT source_id AS id, target_id AS neighbor, 0 AS leg, edge_id FROM e WHERE source_id IN (SELECT id FROM n WHERE kind IN ('file', 'constant')) UNION ALL SELECT target_id, source_id, 1, edge_id FROM e WHERE target_id IN (SELECT id FROM n WHERE kind IN ('file', 'constant'))")
+@query("SELECT source_id AS id, target_id AS neighbor, 0 AS leg, edge_id FROM e UNION ALL SELECT target_id, source_id, 1, edge_id FROM e")
 def neighbors_both_bag(spark, d):
-    return G.neighbors(A.edges(spark, d), A.nodes(spark, d).where("kind in ('file', 'constant')"), "both")
+    return G.neighbors(A.edges(spark, d), A.nodes(spark, d), "both")
+
+
+@query("SELECT source_id AS id, target_id AS neighbor FROM e")
+def neighbors_out(spark, d):
+    return G.neighbors(A.edges(spark, d), A.nodes(spark, d), "out").select("id", "neighbor")
+
+
+@query("SELECT target_id AS id, source_id AS neighbor FROM e")
+def neighbors_in(spark, d):
+    return G.neighbors(A.edges(spark, d), A.nodes(spark, d), "in").select("id", "neighbor")
 
 
 @query("SELECT n.id, count(CASE WHEN s = 0 THEN 1 END) AS out_degree, count(CASE WHEN s = 1 THEN 1 END) AS in_degree FROM n LEFT JOIN (SELECT source_id AS id, 0 AS s FROM e UNION ALL SELECT target_id, 1 FROM e ) x ON n.id = x.id GROUP BY n.id")
@@ -144,10 +133,22 @@ def child_lists(spark, d):
     return out.select("id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("SELECT source_id, edge_id FROM e WHERE (target_id, edge_type) IN (SELECT id, 'calls' FROM n WHERE kind = 'constant' AND visibility = 'private')")
+_WANTED = """
+SELECT c_custkey + 3000000000 AS source_id, CAST(c_custkey % 10 + 1 AS BIGINT) + 5000000000 AS target_id, 'calls' AS edge_type FROM {customer}
+UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 1000000000, CAST((r_regionkey + 1) % 5 AS BIGINT) + 1000000000, 'imports' FROM {region}
+UNION ALL SELECT CAST(r_regionkey AS BIGINT) + 1000000000, CAST((r_regionkey + 1) % 5 AS BIGINT) + 1000000000, 'calls' FROM {region}
+"""
+
+
+@query(f"WITH w AS ({A.duck(_WANTED)}) SELECT w.*, EXISTS (SELECT 1 FROM e WHERE e.source_id = w.source_id AND e.target_id = w.target_id AND e.edge_type = w.edge_type) AS held FROM w")
 def has_edge(spark, d):
-    t = A.nodes(spark, d).where("kind = 'constant' and visibility = 'private'")
-    return G.in_edges(A.edges(spark, d).where("edge_type = 'calls'"), t).select("source_id", "edge_id")
+    return G.held_edges(A.edges(spark, d), A.sql(spark, d, _WANTED))
+
+
+@query("SELECT target_id AS id, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS members FROM e GROUP BY target_id")
+def incoming_lists(spark, d):
+    into = G.adjacency(A.nodes(spark, d), A.edges(spark, d))["into"]
+    return into.select("id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
 # closure
@@ -250,10 +251,13 @@ def line_slice(spark, d):
     return _table(spark, d, "documents").select("doc_id", T.line_range("text", 2, 4).alias("part"))
 
 
-@query("SELECT page_id, CAST(pos AS INT) AS pos, path FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS path, unnest(range(0, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS pos FROM pages) x")
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract_all(replace(html, 'href="', '@import("'), '@import\("([^"]*)"', 1) AS paths FROM pages)
+SELECT page_id, CAST(pos AS INT) AS pos, path FROM (SELECT page_id, unnest(paths) AS path, unnest(range(0, len(paths))) AS pos FROM p) x
+""")
 def extract_imports(spark, d):
-    p = _table(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("h"))
-    return p.select("page_id", F.posexplode("h").alias("pos", "path"))
+    html = F.replace(F.col("html"), F.lit('href="'), F.lit('@import("'))
+    return _table(spark, d, "pages").select("page_id", F.posexplode(T.import_paths(html)).alias("pos", "path"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_type IN ('std', 'builtin') THEN 'stdlib' WHEN right(p_type || CASE WHEN p_size % 2 = 0 THEN '.zig' ELSE '' END, 4) = '.zig' THEN 'project_file' ELSE 'unknown' END AS kind FROM part")
@@ -269,10 +273,15 @@ def resolve_relative_path(spark, d):
     return _table(spark, d, "pages").select("page_id", T.resolve_import(F.expr(_URL_PATH), F.lit(".././up//./x.zig")).alias("path"))
 
 
-@query("SELECT p_partkey, regexp_extract(p_name, '[^ ]+$') AS base, CASE WHEN p_name LIKE '%ing%' THEN TRUE ELSE FALSE END AS has_part FROM part")
+@query(r"""
+SELECT p_partkey, regexp_extract(p_name, '[^ ]+$') AS base, list_contains(string_split(p_name, ' '), 'red') AS has_part,
+  regexp_extract(regexp_extract(p_name, '[^ ]+$') || CASE p_size % 3 WHEN 0 THEN '.x.zig' WHEN 1 THEN '.' ELSE '' END, '^.+(\.[^.]*)$', 1) AS ending
+FROM part
+""")
 def path_parts(spark, d):
     p = F.replace(F.col("p_name"), F.lit(" "), F.lit("/"))
-    return _table(spark, d, "part").select("p_partkey", T.basename(p).alias("base"), F.col("p_name").contains("ing").alias("has_part"))
+    named = F.concat(p, F.when(F.col("p_size") % 3 == 0, ".x.zig").when(F.col("p_size") % 3 == 1, ".").otherwise(""))
+    return _table(spark, d, "part").select("p_partkey", T.basename(p).alias("base"), T.has_component(p, "red").alias("has_part"), T.extension(named).alias("ending"))
 
 
 @query("SELECT p_partkey FROM part WHERE NOT list_contains(string_split(p_name, ' '), 'ring') AND p_name <> 'red widget'")
@@ -296,6 +305,85 @@ def type_reference(spark, d):
     return A.nodes(spark, d).select("id", T.type_reference(F.col("kind"), F.col("name")).alias("is_type"))
 
 
+_SIGNATURE = "CASE p_size % 4 WHEN 0 THEN 'fn f() void' WHEN 1 THEN concat('pub fn g(a: u8) !*const mod.T', CAST(p_size AS STRING)) WHEN 2 THEN 'fn h() ?Foo' ELSE 'fn i(x: Y) Error!Bar ' END"
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'void' WHEN 1 THEN 'mod,T' || p_size WHEN 2 THEN 'Foo' ELSE 'Bar' END AS type FROM part")
+def return_types(spark, d):
+    return _table(spark, d, "part").select("p_partkey", F.array_join(T.return_type(F.expr(_SIGNATURE)), ",").alias("type"))
+
+
+@query(r"""
+SELECT p_partkey, array_to_string(list_transform(regexp_extract_all('std.' || replace(p_name, ' ', '.') || '.. mystd.no (std.' || lower(p_brand) || ')std.x', '(^|[^A-Za-z0-9_])(std\.[A-Za-z0-9_.]+)', 2),
+  lambda x: regexp_replace(x, '\.+$', '')), ',') AS chains FROM part
+""")
+def dotted_chains(spark, d):
+    text = F.concat(F.lit("std."), F.replace(F.col("p_name"), F.lit(" "), F.lit(".")), F.lit(".. mystd.no (std."), F.lower("p_brand"), F.lit(")std.x"))
+    return _table(spark, d, "part").select("p_partkey", F.array_join(T.dotted_chains(text), ",").alias("chains"))
+
+
+@query(r"SELECT p_partkey, regexp_matches(p_name, '^red([^A-Za-z0-9_]|$)') AS starts FROM part")
+def starts_with_keyword(spark, d):
+    return _table(spark, d, "part").select("p_partkey", T.starts_with_keyword("p_name", "red").alias("starts"))
+
+
+@query("SELECT doc_id, CAST(1 + length(head) - length(replace(head, chr(10), '')) AS BIGINT) AS line FROM (SELECT doc_id, left(text, CAST(floor(length(text) / 2) AS INT)) AS head FROM documents) x")
+def line_of_offset(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.line_of_offset("text", F.floor(F.length("text") / 2).cast("int")).alias("line"))
+
+
+@query("SELECT page_id, contains(string_split(left(html, CAST(floor(length(html) / 2) AS INT)), chr(10))[-1], '//') AS inside FROM pages")
+def in_line_comment(spark, d):
+    before = F.substring(F.col("html"), F.lit(1), F.floor(F.length("html") / 2).cast("int"))
+    return _table(spark, d, "pages").select("page_id", T.in_line_comment(before).alias("inside"))
+
+
+@query("SELECT o_orderkey, CAST(floor((o_orderkey + 7) / 8) AS BIGINT) * 8 AS aligned FROM orders")
+def align8(spark, d):
+    return _table(spark, d, "orders").select("o_orderkey", T.align8(F.col("o_orderkey")).cast("long").alias("aligned"))
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM orders")
+def utc_stamp(spark, d):
+    return _table(spark, d, "orders").select("o_orderkey", T.utc_stamp(F.col("o_orderdate").cast("timestamp")).alias("stamp"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(md5(text), 24) END AS hash FROM documents")
+def hash_text_and_bytes(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, F.lit("no hash")).otherwise(F.substring(F.upper(F.md5("text")), 1, 24))
+    return _table(spark, d, "documents").select("doc_id", F.coalesce(T.hash_text(T.hash_bytes(text)), F.lit("")).alias("hash"))
+
+
+@query(r"""
+SELECT p_partkey, '"' || replace(p_name, ' ', '\n') || '\\\"\u0001\t\r\u001f' || '"' AS json FROM part
+""")
+def json_strings(spark, d):
+    text = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("\n")), F.lit('\\"\x01\t\r\x1f'))
+    return _table(spark, d, "part").select("p_partkey", T.json_string(text).alias("json"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '_') AS under FROM part")
+def underscored(spark, d):
+    return _table(spark, d, "part").select("p_partkey", T.underscored(F.replace(F.col("p_name"), F.lit(" "), F.lit("."))).alias("under"))
+
+
+_FLAGS = (("is_comptime", 2), ("is_mutable", 3), ("is_inline", 4), ("is_extern", 5), ("is_packed", 6), ("comptime_conditional", 7))
+_BITS = {"is_comptime": 1, "is_inline": 2, "is_extern": 4, "comptime_conditional": 8, "is_mutable": 16, "is_packed": 32}
+
+
+@query(
+    "SELECT p_partkey, "
+    + " || ".join(f"CASE WHEN p_size % {k} = 0 THEN '  [{n.removeprefix('is_')}]' ELSE '' END" for n, k in _FLAGS)
+    + " || CASE WHEN p_size % 8 = 0 THEN '  [callconv=C]' ELSE '' END AS flags, "
+    + " + ".join(f"CASE WHEN p_size % {k} = 0 THEN {_BITS[n]} ELSE 0 END" for n, k in _FLAGS)
+    + " AS bits FROM part"
+)
+def language_flags(spark, d):
+    meta = F.struct(*[(F.col("p_size") % k == 0).alias(n) for n, k in _FLAGS], F.when(F.col("p_size") % 8 == 0, "C").alias("calling_convention"))
+    p = _table(spark, d, "part").select("p_partkey", meta.alias("meta"))
+    return p.select("p_partkey", T.flags_text("meta").alias("flags"), T.flags_bits("meta").alias("bits"))
+
+
 # joins
 
 
@@ -310,14 +398,21 @@ def import_join_fallback(spark, d):
     return R.import_targets(A.sql(spark, d, _NORMAL.replace("FROM part", "FROM {part}").replace("VARCHAR", "STRING")), files).select("id", "file_id")
 
 
-@query("WITH RECURSIVE w AS (SELECT id AS caller, id AS scope, 0 AS hop FROM n WHERE kind = 'function' UNION ALL SELECT w.caller, p.parent_id, w.hop + 1 FROM w JOIN n p ON w.scope = p.id WHERE p.parent_id IS NOT NULL), c AS (SELECT w.caller, k.id AS found, row_number() OVER (PARTITION BY w.caller ORDER BY w.hop, k.id) AS rank FROM w JOIN n k ON k.parent_id = w.scope AND k.kind IN ('field', 'constant')) SELECT caller, found FROM c WHERE rank = 1")
+_LOOKED_UP = "SELECT c_custkey + 3000000000 AS caller, s_name AS name FROM {customer} JOIN {supplier} ON s_suppkey = c_custkey % 100"
+
+
+@query(f"""
+WITH RECURSIVE w AS (SELECT caller, name, caller AS scope, 0 AS hop FROM ({A.duck(_LOOKED_UP)}) x
+  UNION ALL SELECT w.caller, w.name, p.parent_id, w.hop + 1 FROM w JOIN n p ON w.scope = p.id WHERE p.parent_id IS NOT NULL),
+c AS (SELECT w.caller, w.name, w.hop, k.id AS found, row_number() OVER (PARTITION BY w.caller, w.name ORDER BY w.hop, k.id) AS rank
+  FROM w JOIN n k ON k.parent_id = w.scope AND k.name = w.name WHERE k.kind IN ('field', 'constant'))
+SELECT caller, name, found, CAST(hop AS INT) AS hops FROM c WHERE rank = 1
+""")
 def scoped_lookup_narrowest(spark, d):
     from graphloom.operators import resolve as R
 
     n = A.nodes(spark, d)
-    wanted = n.where("kind = 'function'").select(F.col("id").alias("caller"), F.lit("any").alias("name"))
-    members = n.where("kind in ('field', 'constant')").withColumn("name", F.lit("any"))
-    return R.narrowest(wanted, members, n).select("caller", "found")
+    return R.narrowest(A.sql(spark, d, _LOOKED_UP), n.where("kind in ('field', 'constant')"), G.ancestors(n))
 
 
 @query("SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name, p_type, p_size HAVING count(*) = 1")
@@ -472,15 +567,20 @@ def dense_node_ids(spark, d):
     return G.dense_ids(A.nodes(spark, d), ["kind", "name", "id"], "num").select("id", "num")
 
 
-@query()
+@query("""
+SELECT 'node' AS what, id, coalesce(parent_id, -1) AS other, concat_ws('|', name, kind, coalesce(file_path, '-'), coalesce(CAST(line_start AS VARCHAR), '-'), visibility, external) AS said FROM n
+UNION ALL SELECT 'edge', source_id, target_id, edge_type || '|' || CASE edge_type WHEN 'imports' THEN 'phantom' ELSE 'tree_sitter' END FROM e
+""")
 def binary_roundtrip(spark, d):
     import uuid
 
     from graphloom.checkpoints import shared_dir
     from graphloom.sources import binary
 
-    n = A.graph_nodes(spark, d)
-    e = A.edges(spark, d).withColumn("source", F.lit("tree_sitter"))
+    e = A.edges(spark, d).withColumn("source", F.when(F.col("edge_type") == "imports", "phantom").otherwise("tree_sitter"))
     path = f"{shared_dir(spark).removeprefix('file://')}/roundtrip-{uuid.uuid4().hex}.bin"
-    binary.save(spark, n, e, path)
-    return binary.load(spark, path).nodes.groupBy("kind").agg(F.count("*").alias("n"))
+    binary.save(spark, A.graph_nodes(spark, d), e, path)
+    g = binary.load(spark, path)
+    said = F.concat_ws("|", "name", "kind", F.coalesce("file_path", F.lit("-")), F.coalesce(F.col("line_start").cast("string"), F.lit("-")), "visibility", F.col("external.kind"))
+    nodes = g.nodes.select(F.lit("node").alias("what"), "id", F.coalesce("parent_id", F.lit(-1)).alias("other"), said.alias("said"))
+    return nodes.unionAll(g.edges.select(F.lit("edge"), "source_id", "target_id", F.concat_ws("|", "edge_type", "source")))

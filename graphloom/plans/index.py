@@ -1,13 +1,17 @@
 """From source files to a graph: extraction, name resolution by joins, external symbols, metrics.
 
 Files are parsed in one Arrow pass.  Everything after it is relational: bindings, scopes and call chains are
-tables, a chain of up to eight segments is walked by as many rounds of joins, and each branch of the cascade
-that a call goes through is a left join of which the first that holds decides.
+tables, a chain is walked by as many rounds of joins as it has segments, and each branch of the cascade that a call
+goes through is a left join of which the first that holds decides.  Limits on bindings, chains, paths and files hold
+with parity only.
 """
 
 from __future__ import annotations
 
+import itertools
+import logging
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,16 +19,17 @@ from pyspark.sql import functions as F
 
 from graphloom.checkpoints import cut
 from graphloom.functions import text as T
+from graphloom.languages import by_name
+from graphloom.logs import log
 from graphloom.operators import resolve as R
-from graphloom.operators.graph import CodeGraph, ancestors, dedup_edges, dense_ids, phantoms, topological_order
-from graphloom.schemas import MAX_CHAIN, TYPE_CONTAINERS, full_nodes
+from graphloom.operators.graph import CodeGraph, ancestors, dedup_edges, dense_ids, phantoms, running_sum, topological_levels
+from graphloom.schemas import MAX_BINDINGS, MAX_CHAIN, MAX_FILE, MAX_HOPS, MAX_PARAMS, MAX_SEGMENTS, TYPE_CONTAINERS, full_nodes
 from graphloom.sources.scan import scan_directory, sources_from
 
-CAP, PARAM_CAP = 32, 16
 _NODE = "struct<local:int,parent:int,name:string,kind:string,line_start:int,line_end:int,public:boolean,doc:string,signature:string,is_comptime:boolean,is_mutable:boolean,is_inline:boolean,is_extern:boolean,is_packed:boolean,comptime_conditional:boolean,convention:string,chain:array<string>,complexity:int>"
 _EVENT = "struct<caller:int,kind:string,ord:int,name:string,chain:array<string>,extra:int>"
 _STD = "struct<alias:string,chain:array<string>,line:int>"
-PARSED = f"rel_path string, language string, content_hash binary, nodes array<{_NODE}>, events array<{_EVENT}>, std array<{_STD}>"
+PARSED = f"rel_path string, language string, content_hash binary, nodes array<{_NODE}>, events array<{_EVENT}>, std array<{_STD}>, imports array<string>"
 FLAGS = ("is_comptime", "is_mutable", "is_inline", "is_extern", "is_packed", "comptime_conditional")
 
 
@@ -36,64 +41,76 @@ class IndexResult:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """PARSED: a row for each file, with its declarations, events and names of the standard library."""
-    spark = files.sparkSession
+    """PARSED: a row for each file, with its declarations, events, imports and names of the standard library."""
+    spark, support = files.sparkSession, by_name()
     schema = spark.createDataFrame([], PARSED)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(schema.schema)
 
     def run(batches):
-        from graphloom.languages import LANGUAGES
-
-        support = {x.name: x for x in LANGUAGES.values()}
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 p = support[r["language"]].parse((r["content"] or b"").decode("utf-8", "replace"), r["rel_path"])
                 nodes = [dict(local=d.local, parent=d.parent, name=d.name, kind=d.kind, line_start=d.line_start, line_end=d.line_end, public=d.public, doc=d.doc, signature=d.signature, convention=d.convention, chain=d.chain, complexity=d.complexity, **{f: bool(d.flags.get(f)) for f in FLAGS}) for d in p.nodes]
                 events = [dict(zip(("caller", "kind", "ord", "name", "chain", "extra"), e)) for e in p.events]
-                out.append(dict(rel_path=r["rel_path"], language=r["language"], content_hash=r["content_hash"], nodes=nodes, events=events, std=[dict(alias=a, chain=c, line=n) for a, c, n in p.std_chains()]))
+                out.append(dict(rel_path=r["rel_path"], language=r["language"], content_hash=r["content_hash"], nodes=nodes, events=events, std=[dict(alias=a, chain=c, line=n) for a, c, n in p.std_chains()], imports=r["imports"]))
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return files.select("rel_path", "language", "content_hash", "content").mapInArrow(run, PARSED)
+    text = F.decode("content", "UTF-8")
+    imports = _by_language(lambda x: x.extract_imports(text)).alias("imports")
+    return files.select("rel_path", "language", "content_hash", "content", imports).mapInArrow(run, PARSED)
+
+
+def _by_language(of) -> Column:
+    """of(language) for a row's language."""
+    return reduce(lambda c, x: c.when(F.col("language") == x.name, of(x)), by_name().values(), F.when(F.lit(False), F.lit(None)))
 
 
-def _first(df: DataFrame, keys: list[str], order: str, cap: int) -> DataFrame:
-    """First of each key among the first ``cap`` of its caller or file."""
-    n = F.row_number().over(Window.partitionBy(keys[0]).orderBy(order))
-    capped = df.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
+def _resolved(importer: str, path: str, parity: bool) -> Column:
+    limit = {"limit": MAX_SEGMENTS} if parity else {}
+    return _by_language(lambda x: x.resolve_import_path(F.col(importer), F.col(path), **limit))
+
+
+def _first(df: DataFrame, keys: list[str], order: str, cap: int | None) -> DataFrame:
+    """First of each key, with a cap among so many first of its caller or file."""
+    if cap:
+        n = F.row_number().over(Window.partitionBy(keys[0]).orderBy(order))
+        df = df.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
     others = [c for c in df.columns if c not in keys]
-    return capped.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in others])
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in others])
 
 
-def file_order(parsed: DataFrame) -> DataFrame:
-    """(rel_path, file_ord, base): files after those they import, and the first node id of each."""
-    files = parsed.select(F.col("rel_path").alias("id"), F.col("rel_path").alias("path"), F.size("nodes").alias("n"))
-    imports = parsed.select("rel_path", F.explode("nodes").alias("d")).where("d.kind = 'import_decl'").select(F.col("rel_path").alias("id"), T.resolve_import("rel_path", F.col("d.signature")).alias("resolved"), F.col("d.signature").alias("raw"))
-    known = files.select("path", F.col("path").alias("file_id"))
-    depends = R.import_targets(imports, known).where("file_id is not null").select("id", F.col("file_id").alias("on")).distinct()
-    counts = {r["id"]: r["n"] for r in files.collect()}
-    rows, base = [], 0
-    for k, p in enumerate(topological_order(files, depends)):
-        rows.append((p, k, base))
-        base += counts[p]
-    return parsed.sparkSession.createDataFrame(rows, "rel_path string, file_ord long, base long")
+def file_order(parsed: DataFrame, parity: bool = False) -> DataFrame:
+    """(rel_path, file_ord, base): files after those they import, then by path, and the first node id of each."""
+    files = parsed.select(F.col("rel_path").alias("id"), F.size("nodes").alias("n"))
+    imports = parsed.select("rel_path", "language", F.explode("imports").alias("raw"))
+    imports = imports.select(F.col("rel_path").alias("id"), _resolved("rel_path", "raw", parity).alias("resolved"), "raw")
+    known = files.select(F.col("id").alias("path"), F.col("id").alias("file_id"))
+    depends = R.import_targets(imports, known).where("file_id is not null").select("id", F.col("file_id").alias("on"))
+    levels = topological_levels(files, depends).select("id", F.coalesce("level", F.lit(1 << 30)).alias("level"))
+    base = running_sum(files.join(levels, "id"), ["level", "id"], F.col("n"), "base")
+    return cut(base.select(F.col("id").alias("rel_path"), F.col("base").alias("file_ord"), "base"))
 
 
 class Resolver:
     """The tables that names are looked up in."""
 
-    def __init__(self, nodes: DataFrame, raw: DataFrame):
-        """nodes: id, file_id, file_ord, parent_id, name, kind, signature, rel_path, chain; raw: caller, file_id, kind, ord, name, chain, extra."""
-        self.n, self.raw = nodes, raw
+    def __init__(self, nodes: DataFrame, raw: DataFrame, parity: bool = False):
+        """nodes: id, file_id, parent_id, name, kind, language, signature, rel_path, chain; raw: caller, file_id, kind, ord, name, chain, extra."""
+        self.limit = MAX_CHAIN if parity else 1 << 20
+        short = F.slice("chain", 1, self.limit)
+        self.n, self.raw = nodes.withColumn("chain", short), raw.withColumn("chain", short)
+        self.bound, self.params = (MAX_BINDINGS, MAX_PARAMS) if parity else (None, None)
         self.container = F.col("kind").isin(*TYPE_CONTAINERS)
-        self.up = cut(ancestors(nodes.select("id", "parent_id")))
+        self.up = cut(ancestors(nodes.select("id", "parent_id"), MAX_HOPS if parity else None))
+        nodes = self.n
         self.files = nodes.where("kind = 'file'").select(F.col("rel_path").alias("path"), F.col("id").alias("file_id"))
-        top = nodes.where("kind = 'import_decl'").withColumn("resolved", T.resolve_import("rel_path", F.col("signature"))).withColumn("raw", F.col("signature")).drop("file_id").withColumn("owner", F.col("parent_id"))
+        top = nodes.where("kind = 'import_decl'").withColumn("resolved", _resolved("rel_path", "signature", parity)).withColumn("raw", F.col("signature")).drop("file_id").withColumn("owner", F.col("parent_id"))
         targets = R.import_targets(top.select("id", "owner", "name", "chain", "resolved", "raw"), self.files).where("file_id is not null")
         self.imports = cut(targets.join(self.files.select(F.col("file_id").alias("owner")), "owner", "left_semi").select("id", "owner", "name", "chain", F.col("file_id").alias("target")))
-        self.bindings = _first(self.imports.select(F.col("owner").alias("file_id"), "name", "target", F.col("chain").alias("prefix"), "id"), ["file_id", "name"], "id", CAP).select("file_id", "name", "target", "prefix")
+        self.bindings = _first(self.imports.select(F.col("owner").alias("file_id"), "name", "target", F.col("chain").alias("prefix"), "id"), ["file_id", "name"], "id", self.bound).select("file_id", "name", "target", "prefix")
         self.kids = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("scope"), "name").agg(F.min("id").alias("kid"))
         below = self.up.join(nodes.select("id", "name"), "id").groupBy(F.col("ancestor").alias("scope"), "name").agg(F.count("*").alias("c"), F.min("id").alias("lone"))
         self.lone = below.where("c = 1").select("scope", "name", "lone")
@@ -102,28 +119,20 @@ class Resolver:
 
     def _returns(self) -> DataFrame:
         """(fn, scope): the type that a function returns, of its own scope or through an import of its file."""
-        parts = F.filter(F.transform(F.split(self._return_text(), r"\."), lambda s: F.regexp_extract(s, r"^\s*([A-Za-z0-9_]+)", 1)), lambda s: s != "")
+        parts = T.return_type("signature")
         fns = self.n.where("kind = 'function'").select(F.col("id").alias("fn"), "file_id", "parent_id", parts.alias("p")).where("size(p) > 0")
         near = fns.where("size(p) = 1").join(self.types, (F.col("scope") == F.col("parent_id")) & (F.col("name") == F.col("p")[0])).select("fn", F.col("type_id").alias("scope"))
         first = self.imports.groupBy(F.col("owner").alias("o"), F.col("name").alias("m")).agg(F.min_by("target", "id").alias("t"))
         far = fns.where("size(p) > 1").join(first, (F.col("o") == F.col("file_id")) & (F.col("m") == F.col("p")[0])).join(self.types, (F.col("scope") == F.col("t")) & (F.col("name") == F.col("p")[1])).select("fn", F.col("type_id").alias("scope"))
         return near.unionByName(far)
 
-    @staticmethod
-    def _return_text() -> Column:
-        t = F.trim(F.regexp_extract("signature", r"(?s)\)([^)]*)$", 1))
-        t = F.when(t.contains("!"), F.regexp_replace(t, r"(?s)^[^!]*!", "")).otherwise(t)
-        return F.trim(F.regexp_replace(F.regexp_replace(t, r"^[*?]+", ""), "^const ", ""))
-
     def scoped(self, wanted: DataFrame, members: DataFrame) -> DataFrame:
         """(caller, name, found): in the narrowest scope, else the only one of the caller's file."""
         wanted = wanted.select("caller", "file_id", "name").distinct()
-        own = wanted.select("caller").distinct()
-        scopes = own.select("caller", F.col("caller").alias("scope"), F.lit(0).alias("hops")).unionByName(self.up.select(F.col("id").alias("caller"), F.col("ancestor").alias("scope"), "hops").join(own, "caller", "left_semi"))
-        kids = members.where("parent_id is not null").groupBy(F.col("parent_id").alias("scope"), "name").agg(F.min("id").alias("id"))
-        near = wanted.join(scopes, "caller").join(kids, ["scope", "name"]).groupBy("caller", "name").agg(F.min(F.struct("hops", "id")).alias("b")).select("caller", "name", F.col("b.id").alias("near"))
+        near = R.narrowest(wanted, members, self.up).select("caller", "name", F.col("found").alias("near"))
         only = R.unique_only(members, ["file_id", "name"], "id").withColumnRenamed("id", "only")
-        return wanted.join(near, ["caller", "name"], "left").join(only, ["file_id", "name"], "left").select("caller", "name", F.coalesce("near", "only").alias("found")).where("found is not null")
+        both = wanted.join(near, ["caller", "name"], "left").join(only, ["file_id", "name"], "left")
+        return both.select("caller", "name", F.coalesce("near", "only").alias("found")).where("found is not null")
 
     @property
     def functions(self) -> DataFrame:
@@ -141,9 +150,9 @@ class Resolver:
         """
         kinds = self.n.select(F.col("id").alias("got"), F.col("name").alias("g_name"), F.col("kind").alias("g_kind"), F.col("parent_id").alias("g_parent"))
         scope_kinds = self.n.select(F.col("id").alias("scope"), (self.container | (F.col("kind") == "file")).alias("open"))
-        state = cut(chains.where("size(chain) > 0").select("sid", "caller", "scope", F.slice("chain", 1, MAX_CHAIN).alias("chain"), F.lit(None).cast("long").alias("fn")))
+        state = cut(chains.where("size(chain) > 0").select("sid", "caller", "scope", "chain", F.lit(None).cast("long").alias("fn")))
         edges, done = None, None
-        for k in range(MAX_CHAIN):
+        for k in itertools.count():
             if state.isEmpty():
                 break
             s = state.withColumn("name", F.col("chain")[k]).withColumn("last", F.size("chain") == k + 1)
@@ -180,20 +189,20 @@ class Resolver:
         origin = lambda df, root: df.join(b.withColumnsRenamed({"name": "_r", "target": "o_target", "prefix": "o_prefix", "file_id": "_f"}), (F.col("_r") == root) & (F.col("_f") == F.col("file_id")), "left").drop("_r", "_f")
 
         # variables: to the file of the type that a call returns, else the imported file
-        v = origin(_first(ev("var").select("caller", "name", "ord", "chain", "file_id"), ["caller", "name"], "ord", CAP), F.col("chain")[0]).where("o_target is not null")
+        v = origin(_first(ev("var").select("caller", "name", "ord", "chain", "file_id"), ["caller", "name"], "ord", self.bound), F.col("chain")[0]).where("o_target is not null")
         v = cut(v.withColumn("sid", F.monotonically_increasing_id()))
-        full = F.concat("o_prefix", F.slice("chain", F.lit(2), F.lit(MAX_CHAIN)))
+        full = F.concat("o_prefix", F.slice("chain", F.lit(2), F.lit(self.limit)))
         _, ends = self.walk(v.select("sid", "caller", F.col("o_target").alias("scope"), full.alias("chain")), strict=True)
         if ends is not None:
             home = self.n.select(F.col("id").alias("scope"), F.col("file_id").alias("home"))
             to = ends.where("fn is not null").join(self.returns, "fn").join(home, "scope").groupBy("sid").agg(F.min("home").alias("home"))
             v = v.join(to, "sid", "left").withColumn("o_target", F.coalesce("home", "o_target"))
         variables = v.select("caller", F.col("name").alias("v_name"), F.col("o_target").alias("v_target"))
-        local = _first(ev("local").select("caller", "name", "ord", F.col("chain")[0].alias("l_type")), ["caller", "name"], "ord", CAP).select("caller", F.col("name").alias("l_name"), "l_type")
-        p = origin(ev("param"), F.col("chain")[0]).where("o_target is not null").select("caller", "name", "ord", F.col("o_target").alias("p_target"), F.slice(F.concat("o_prefix", F.slice("chain", F.lit(2), F.lit(MAX_CHAIN))), 1, MAX_CHAIN).alias("p_chain"))
-        captured = ev("capture").select("caller", F.col("name").alias("to"), "ord", F.col("chain")[0].alias("name")).join(p.select("caller", "name", "p_target", "p_chain"), ["caller", "name"]).select("caller", F.col("to").alias("name"), (F.col("ord") + 1_000_000).alias("ord"), "p_target", "p_chain")
-        params = _first(p.unionByName(captured), ["caller", "name"], "ord", PARAM_CAP).select("caller", F.col("name").alias("p_name"), "p_target", "p_chain")
-        ptypes = _first(ev("ptype").select("caller", "name", "ord", F.col("chain")[0].alias("t_type")), ["caller", "name"], "ord", 1_000_000).select("caller", F.col("name").alias("t_name"), "t_type")
+        local = _first(ev("local").select("caller", "name", "ord", F.col("chain")[0].alias("l_type")), ["caller", "name"], "ord", self.bound).select("caller", F.col("name").alias("l_name"), "l_type")
+        p = origin(ev("param"), F.col("chain")[0]).where("o_target is not null").select("caller", "name", F.col("ord").cast("long").alias("ord"), F.col("o_target").alias("p_target"), F.slice(F.concat("o_prefix", F.slice("chain", F.lit(2), F.lit(self.limit))), 1, self.limit).alias("p_chain"))
+        captured = ev("capture").select("caller", F.col("name").alias("to"), "ord", F.col("chain")[0].alias("name")).join(p.select("caller", "name", "p_target", "p_chain"), ["caller", "name"]).select("caller", F.col("to").alias("name"), (F.col("ord") + (1 << 30)).cast("long").alias("ord"), "p_target", "p_chain")
+        params = _first(p.unionByName(captured), ["caller", "name"], "ord", self.params).select("caller", F.col("name").alias("p_name"), "p_target", "p_chain")
+        ptypes = _first(ev("ptype").select("caller", "name", "ord", F.col("chain")[0].alias("t_type")), ["caller", "name"], "ord", None).select("caller", F.col("name").alias("t_name"), "t_type")
 
         c = ev("call").select("caller", "file_id", "chain", F.col("extra").alias("bare"), F.col("chain")[0].alias("root"), F.element_at("chain", -1).alias("leaf")).distinct().withColumn("sid", F.monotonically_increasing_id())
         c = origin(cut(c), F.col("root"))
@@ -210,16 +219,16 @@ class Resolver:
         members = self.functions.groupBy(F.col("parent_id").alias("_s"), F.col("name").alias("_n")).agg(F.min("id").alias("l_fn"))
         c = c.join(members, (F.col("_s") == F.col("l_id")) & (F.col("_n") == F.col("leaf")), "left").drop("_s", "_n")
         nothing = F.lit(None)
-        rest = F.slice("chain", F.lit(2), F.lit(MAX_CHAIN))
+        rest = F.slice("chain", F.lit(2), F.lit(self.limit))
         one = lambda fn=None, scope=None, chain=None: F.struct((fn if fn is not None else nothing).cast("long").alias("fn"), (scope if scope is not None else nothing).cast("long").alias("scope"), (chain if chain is not None else F.array().cast("array<string>")).alias("chain"))
         branch = R.cascade([
             ((F.size("chain") == 1) & F.col("leaf_fn").isNotNull(), one(F.col("leaf_fn"))),
             ((F.size("chain") == 1) & (F.col("bare") == 1) & F.col("o_target").isNotNull(), one(scope=F.col("o_target"), chain=F.col("o_prefix"))),
             (F.size("chain") == 1, one()),
-            (F.col("o_target").isNotNull(), one(scope=F.col("o_target"), chain=T.chain_concat("o_prefix", rest))),
+            (F.col("o_target").isNotNull(), one(scope=F.col("o_target"), chain=T.chain_concat("o_prefix", rest, self.limit))),
             (F.col("v_target").isNotNull(), one(scope=F.col("v_target"), chain=rest)),
             (F.col("l_type").isNotNull(), one(F.col("l_fn"))),
-            (F.col("p_target").isNotNull(), one(scope=F.col("p_target"), chain=T.chain_concat("p_chain", rest))),
+            (F.col("p_target").isNotNull(), one(scope=F.col("p_target"), chain=T.chain_concat("p_chain", rest, self.limit))),
             ((F.col("root") == "self") | F.col("root_id").isNotNull() | F.col("t_id").isNotNull(), one(F.col("leaf_fn"))),
         ], one())
         decided = cut(c.select("sid", "caller", branch.alias("x")))
@@ -233,7 +242,7 @@ class Resolver:
         near = self.scoped(idents, self.type_names)
         across = self.imports.select(F.col("owner").alias("file_id"), F.col("target").alias("scope"))
         every = self.n.where(self.container).select(F.col("parent_id").alias("scope"), "name", "id")
-        far = across.join(every, "scope").groupBy("file_id", "name").agg(F.count("*").alias("c"), F.min("id").alias("far")).where((F.col("c") == 1) & T.pascal("name"))
+        far = R.unique_only(across.join(every, "scope"), ["file_id", "name"], "id").where(T.pascal("name")).withColumnRenamed("id", "far")
         hit = idents.join(near, ["caller", "name"], "left").join(far, ["file_id", "name"], "left").select("caller", F.coalesce("found", "far").alias("target")).where("target is not null")
         parent = self.n.select(F.col("id").alias("target"), "parent_id")
         return hit.join(parent, "target").where("not (parent_id <=> caller)").select("caller", "target", F.lit("uses_type").alias("edge_type"), F.lit(0).cast("long").alias("sid"))
@@ -271,7 +280,7 @@ def graph_of(parsed: DataFrame, parity: bool = False) -> CodeGraph:
     With parity, a call or type use counts only if its target's file comes no later in the order of files, as
     when files are resolved one after the other.
     """
-    order = file_order(parsed)
+    order = file_order(parsed, parity)
     each = parsed.join(order, "rel_path")
     flat = each.select("rel_path", "language", "content_hash", "file_ord", "base", F.explode("nodes").alias("d"))
     meta = F.struct(*[F.col(f"d.{f}").alias(f) for f in FLAGS], F.col("d.convention").alias("calling_convention"))
@@ -284,31 +293,49 @@ def graph_of(parsed: DataFrame, parity: bool = False) -> CodeGraph:
     )
     nodes = cut(nodes)
     raw = each.select("base", F.explode("events").alias("e")).select((F.col("base") + F.col("e.caller")).alias("caller"), F.col("base").alias("file_id"), "e.kind", "e.ord", "e.name", "e.chain", "e.extra")
-    r = Resolver(nodes, cut(raw))
+    r = Resolver(nodes, cut(raw), parity)
     imports = r.imports.select(F.col("owner").alias("caller"), "target", F.lit("imports").alias("edge_type"), F.col("id").alias("sid"))
     uses = r.calls().withColumn("phase", F.lit(0)).unionByName(r.type_uses().withColumn("phase", F.lit(1)))
     if parity:
         ords = nodes.select("id", "file_ord")
         uses = uses.join(ords.select(F.col("id").alias("caller"), F.col("file_ord").alias("_s")), "caller").join(ords.select(F.col("id").alias("target"), F.col("file_ord").alias("_t")), "target").where("_t <= _s").drop("_s", "_t")
     first = (nodes.agg(F.max("id")).first()[0] or -1) + 1 if not nodes.isEmpty() else 0
-    outer, outer_edges = external_symbols(nodes, parsed, order, first)
-    every = uses.withColumn("source", F.lit("tree_sitter")).unionByName(imports.withColumns({"phase": F.lit(2), "source": F.lit("tree_sitter")})).unionByName(outer_edges.withColumns({"phase": F.lit(3), "source": F.lit("phantom")}))
+    outer, outer_edges = nodes.limit(0), None
+    for x in by_name().values():
+        if x.external_symbols is None:
+            continue
+        own = F.col("language") == x.name
+        more, edges = x.external_symbols(nodes.where(own), parsed.where(own), order, first)
+        outer, outer_edges = outer.unionByName(more.withColumn("language", F.lit(x.name)), allowMissingColumns=True), edges if outer_edges is None else outer_edges.unionByName(edges)
+        first = (more.agg(F.max("id")).first()[0] or first - 1) + 1
+    every = uses.withColumn("source", F.lit("tree_sitter")).unionByName(imports.withColumns({"phase": F.lit(2), "source": F.lit("tree_sitter")}))
+    if outer_edges is not None:
+        every = every.unionByName(outer_edges.withColumns({"phase": F.lit(3), "source": F.lit("phantom")}))
     every = every.select(F.col("caller").alias("source_id"), F.col("target").alias("target_id"), "edge_type", "source", "phase", F.struct("phase", "sid").alias("ord"))
     kept = dedup_edges(every, "ord").drop("ord")
     edges = dense_ids(kept, ["phase", "source_id", "target_id", "edge_type"], "edge_id").select("edge_id", "source_id", "target_id", "edge_type", "source")
     return CodeGraph(cut(full_nodes(nodes).unionByName(full_nodes(outer))), cut(edges))
 
 
-def index_directory(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), previous: CodeGraph | None = None, parity: bool = False) -> tuple[CodeGraph, IndexResult]:
+def index_directory(
+    spark: SparkSession,
+    root: str,
+    exclude: tuple[str, ...] = (),
+    previous: CodeGraph | None = None,
+    parity: bool = False,
+    logger: logging.Logger | None = None,
+) -> tuple[CodeGraph, IndexResult]:
     """The graph of all source files below a folder.
 
     With a previous graph, files whose path and content hash it has count as skipped; the graph returned is
     that of the files as they are now.
     """
-    files = cut(scan_directory(spark, root, exclude))
+    files = cut(scan_directory(spark, root, exclude, MAX_FILE if parity else None))
     good = files.where("readable")
     total, bad = good.count(), files.where("not readable").count()
     skipped = 0
+    if logger:
+        log(logger, "info", "scanned", root=root, files=total, unreadable=bad)
     if previous is not None:
         before = previous.nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), "content_hash")
         changed = R.changed_files(good.select(F.col("rel_path").alias("path"), "content_hash"), before).count()
@@ -316,7 +343,10 @@ def index_directory(spark: SparkSession, root: str, exclude: tuple[str, ...] = (
         skipped = total - changed
         if changed == 0 and gone == 0:
             return previous, IndexResult(0, skipped, bad)
-    return build(good, parity), IndexResult(total - skipped, skipped, bad)
+    graph = build(good, parity)
+    if logger:
+        log(logger, "info", "indexed", nodes=graph.node_count(), edges=graph.edge_count(), skipped=skipped)
+    return graph, IndexResult(total - skipped, skipped, bad)
 
 
 def index_source(spark: SparkSession, text: str, path: str = "source.zig") -> CodeGraph:

@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut
 from graphloom.functions.text import in_scope, internal
 from graphloom.operators.graph import CodeGraph
 from graphloom.render.ids import Ids, assign, ends, fixed, grouped_targets, lines
@@ -96,7 +97,7 @@ def render_ctg(g: CodeGraph, project_name: str, snapshot_name: str | None = None
         if n.get(prefix, 0) and rows is not None:
             parts += [(k, fixed(spark, ([""] if written else []) + [f"[{name}]"])), (k + 1, rows)]
             written, k = True, k + 2
-    rows = edge_lines(a, g.edges).select(F.col("s_ord").alias("k1"), F.col("edge_type").alias("k2"), F.lit(0).alias("k3"), "line")
+    rows = cut(edge_lines(a, g.edges).select(F.col("s_ord").alias("k1"), F.col("edge_type").alias("k2"), F.lit(0).alias("k3"), "line"))
     if not rows.isEmpty():
         parts.append((k, fixed(spark, ([""] if written else []) + ["[edges]"])))
         # edges sort by type first: the type goes to the section number

@@ -13,8 +13,9 @@ VISIBILITIES = ("public", "private")
 LANGUAGES = ("zig", "rust")
 EXTERNALS = ("none", "stdlib", "dependency")
 TYPE_CONTAINERS = ("type_def", "enum_def", "union_def")
-MAX_HOPS = 100
-MAX_CHAIN = 8
+#: Limits that hold with parity=True only: hops to an ancestor, segments of a chain and of a path, bindings of a file
+#: or caller, parameters of a function, bytes of a file.
+MAX_HOPS, MAX_CHAIN, MAX_SEGMENTS, MAX_BINDINGS, MAX_PARAMS, MAX_FILE = 100, 8, 64, 32, 16, 10 << 20
 
 
 def _struct(**fields: T.DataType) -> T.StructType:

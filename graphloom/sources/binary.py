@@ -1,7 +1,8 @@
 """The binary graph format, version 1: fixed records and a string table, little-endian, tables aligned to 8 bytes.
 
 Reading is a Python data source whose partitions are ranges of records; writing streams rows, in id order,
-into the one file that the format asks for.  For data of any size, Parquet (CodeGraph.save) is the way.
+into the one file that the format asks for, so the file system must be one that the driver and all executors mount.
+For data of any size, Parquet (CodeGraph.save) is the way.  A file begins with eight bytes of ``magic``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from graphloom.operators.graph import CodeGraph, without_dangling
 from graphloom.schemas import EDGE_SOURCES, EDGE_TYPES, EDGES, EXTERNALS, KINDS, LANGUAGES, NODES, VISIBILITIES
 
-MAGIC, VERSION = bytes.fromhex("5a43505249534d00"), 1
+MAGIC, VERSION = b"GLOOMGR\0", 1
 HEADER, NODE, EDGE, METRIC = 72, 96, 24, 24
 _HEAD, _NODE, _EDGE, _METRIC = "<8sII7Q", "<QBBBBIQII12s12I4x", "<QQBB6x", "<HIHHHHHBxI2x"
 _FLAGS = (("is_comptime", 1), ("is_inline", 2), ("is_extern", 4), ("comptime_conditional", 8), ("is_mutable", 16), ("is_packed", 32))
@@ -70,7 +71,7 @@ def decode_meta(raw: bytes):
     return (flags["is_comptime"], flags["is_mutable"], flags["is_inline"], flags["is_extern"], flags["is_packed"], flags["comptime_conditional"], raw[2:].decode() or None)
 
 
-def save(spark: SparkSession, nodes: DataFrame, edges: DataFrame, path: str) -> None:
+def save(spark: SparkSession, nodes: DataFrame, edges: DataFrame, path: str, magic: bytes = MAGIC) -> None:
     """Write the graph; ends and parents are ids, which become record numbers where they are dense, and stay as they are else."""
     n_nodes, n_edges = nodes.count(), edges.count()
     node_at = align8(HEADER)
@@ -94,7 +95,7 @@ def save(spark: SparkSession, nodes: DataFrame, edges: DataFrame, path: str) ->
         f.write(b"\0" * (metric_at - f.tell()) + metrics)
         f.write(b"\0" * (string_at - f.tell()) + strings.data)
         f.seek(0)
-        f.write(struct.pack(_HEAD, MAGIC, VERSION, 0, n_nodes, n_edges, node_at, edge_at, metric_at, string_at, len(strings.data)).ljust(HEADER, b"\0"))
+        f.write(struct.pack(_HEAD, magic, VERSION, 0, n_nodes, n_edges, node_at, edge_at, metric_at, string_at, len(strings.data)).ljust(HEADER, b"\0"))
 
 
 @dataclass
@@ -108,11 +109,11 @@ class Header:
     string_size: int
 
 
-def header(path: str) -> Header:
+def header(path: str, magic: bytes = MAGIC) -> Header:
     with open(path, "rb") as f:
         raw = f.read(HEADER)
         size = f.seek(0, 2)
-    if len(raw) < 8 or raw[:8] != MAGIC:
+    if len(raw) < 8 or raw[:8] != magic:
         raise InvalidMagic(path)
     if len(raw) < HEADER:
         raise InvalidFormat("the header is cut off")
@@ -138,9 +139,9 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str, step: int):
+    def __init__(self, path: str, table: str, step: int, magic: bytes):
         self.path, self.table, self.step = path, table, step
-        self.head = header(path)
+        self.head = header(path, magic)
 
     def partitions(self):
         n = self.head.nodes if self.table == "nodes" else self.head.edges
@@ -184,15 +185,15 @@ class BinaryGraph(DataSource):
         return EDGES if self.options.get("table", "nodes") == "edges" else NODES
 
     def reader(self, schema):
-        return _Reader(self.options["path"], self.options.get("table", "nodes"), int(self.options.get("step", 100_000)))
+        return _Reader(self.options["path"], self.options.get("table", "nodes"), int(self.options.get("step", 100_000)), bytes.fromhex(self.options.get("magic", MAGIC.hex())))
 
 
-def load(spark: SparkSession, path: str) -> CodeGraph:
+def load(spark: SparkSession, path: str, magic: bytes = MAGIC) -> CodeGraph:
     """The graph in a file; edges with an end that is no node are left out."""
-    header(path)
+    header(path, magic)
     spark.dataSource.register(BinaryGraph)
-    nodes = spark.read.format("codegraph_v1").option("table", "nodes").load(path)
-    edges = spark.read.format("codegraph_v1").option("table", "edges").load(path)
+    table = lambda name: spark.read.format("codegraph_v1").option("magic", magic.hex()).option("table", name).load(path)
+    nodes, edges = table("nodes"), table("edges")
     return CodeGraph(nodes, without_dangling(edges, nodes).select(*[F.col(c) for c in EDGES.names]))
 
 

@@ -19,7 +19,6 @@ KEYWORDS = frozenset("addrspace align allowzero and anyframe anytype asm async a
 CONTAINERS = {"struct": "type_def", "opaque": "type_def", "union": "union_def", "enum": "enum_def"}
 BRANCH = re.compile(r"(?<![A-Za-z0-9_])(?:if|for|while|switch|catch)(?![A-Za-z0-9_])")
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
-MAX_CHAIN, CAP, PARAM_CAP = 8, 32, 16
 
 
 @dataclass
@@ -205,7 +204,7 @@ class Parser:
             if self.is_(at + 1, "(") and self.t[at + 2].kind == "string":
                 d.signature = self.t[at + 2].text.strip('"')
                 k = self.match[at + 1] + 1
-                while self.is_(k, ".") and self.ident(k + 1) and len(d.chain) < MAX_CHAIN:
+                while self.is_(k, ".") and self.ident(k + 1):
                     d.chain.append(self.t[k + 1].text)
                     k += 2
         elif kind == "error_def":
@@ -311,19 +310,17 @@ class Parser:
         self.events.append((caller, kind, len(self.events), name, chain or [], line))
 
     def params(self, i: int, end: int, caller: int) -> None:
-        n = 0
         while i < end:
             stop = self.until(i, end, ",")
             while self.is_(i, "comptime", "noalias"):
                 i += 1
-            if self.ident(i) and self.is_(i + 1, ":") and self.t[i].text != "self" and n < PARAM_CAP:
+            if self.ident(i) and self.is_(i + 1, ":") and self.t[i].text != "self":
                 k = i + 2
                 while k < stop and (self.is_(k, "*", "?", "const", "volatile", "**")):
                     k += 1
                 chain = self.plain_chain(k, stop)
                 if chain and len(chain) > 1:
-                    self.emit(caller, "param", self.t[i].text, chain[:MAX_CHAIN])
-                    n += 1
+                    self.emit(caller, "param", self.t[i].text, chain)
                 elif chain and k == i + 2:
                     self.emit(caller, "ptype", self.t[i].text, chain)
             i = stop + 1
@@ -357,7 +354,7 @@ class Parser:
                     if chain is None:
                         chain = None  # an enum literal
                     else:
-                        chain = chain + [t.text] if len(chain) < MAX_CHAIN else chain
+                        chain = chain + [t.text]
                 else:
                     chain = [t.text]
             elif t.kind == "builtin":
@@ -404,8 +401,7 @@ class Parser:
                 if self.is_(m, "("):
                     m = self.match[m] + 1
                 elif self.ident(m + 1):
-                    if len(chain) < MAX_CHAIN:
-                        chain.append(self.t[m + 1].text)
+                    chain.append(self.t[m + 1].text)
                     m += 2
                 else:
                     break

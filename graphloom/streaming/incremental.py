@@ -77,14 +77,13 @@ def watch(spark: SparkSession, root: str, state: str, checkpoint: str, once: boo
 
     from graphloom.functions.text import basename, content_hash, excluded, extension
     from graphloom.languages import LANGUAGES
-    from graphloom.sources.scan import LARGEST
 
     root = root.rstrip("/")
     names = sorted({d for x in LANGUAGES.values() for d in x.excluded_dirs})
     languages = F.create_map(*[F.lit(x) for e, k in LANGUAGES.items() for x in (e, k.name)])
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(LANGUAGES) + "}").load(root if "://" in root else f"file://{root}")
     rel = F.substring(F.regexp_replace("path", "^file:/+", "/"), F.lit(len(root.removeprefix("file://")) + 2), F.lit(1 << 20))
-    rows = stream.where(F.col("length") <= LARGEST).select(rel.alias("rel_path"), "content", "modificationTime")
+    rows = stream.where(F.col("length") < 1 << 30).select(rel.alias("rel_path"), "content", "modificationTime")
     rows = rows.where(~excluded("rel_path", names)).select("rel_path", basename("rel_path").alias("basename"), "content", content_hash("content").alias("content_hash"), F.element_at(languages, extension("rel_path")).alias("language"), F.lit(True).alias("readable"), "modificationTime")
 
     def each(batch: DataFrame, _: int) -> None:

@@ -22,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) & {"dedup_edges_first_source", "neighbors_both_bag", "degrees_csr", "ancestor_closure", "owning_file", "cross_file_summary_text", "topo_levels", "phantom_kind_first", "qualified_paths", "complexity", "line_slice", "resolve_relative_path", "scoped_lookup_narrowest", "interval_join_first", "render_ids_per_kind", "edge_group_lines", "jsonl_nodes", "append_union_remap"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) & {"dedup_edges_first_source", "neighbors_both_bag", "degrees_csr", "ancestor_closure", "owning_file", "cross_file_summary_text", "topo_levels", "phantom_kind_first", "qualified_paths", "complexity", "line_slice", "resolve_relative_path", "scoped_lookup_narrowest", "interval_join_first", "render_ids_per_kind", "edge_group_lines", "jsonl_nodes", "append_union_remap", "has_edge", "binary_roundtrip", "return_types", "language_flags", "json_strings", *(n for n in catalogue.ORACLES if n.startswith("zig_")), "ctg_whole_text", "mermaid_whole_text"}))
 def test_query_equals_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, D)
     columns = sorted(got.columns)
@@ -43,7 +43,12 @@ def test_the_rest_works_without_the_optional_package(tmp_path):
         shutil.rmtree(tmp_path / "r" / p, ignore_errors=True)
     if (tmp_path / "r/corpus_pipeline.py").exists():
         (tmp_path / "r/corpus_pipeline.py").unlink()
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'cross_file_summary' in q and not [n for n in q if n.startswith('op')]; print(len(q), len(e.oracle_sql()))"
+    code = (
+        "import __spark_entry__ as e; from pyspark.sql import SparkSession; q = e.queries(); "
+        "assert 'cross_file_summary' in q and not [n for n in q if n.startswith('op') or n == 'pipeline'] and set(e.oracle_sql()) <= set(q); "
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); "
+        f"assert q['classify_import'](s, {D!r}).count() == s.read.parquet({D + '/part.parquet'!r}).count(); assert e.entry(s).count() > 0"
+    )
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
     assert out.returncode == 0, out.stderr
 

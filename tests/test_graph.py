@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators import resolve as R
@@ -51,17 +52,42 @@ def test_closure_and_owner(tree):
     assert rows(G.ancestors(tree, max_hops=1)) == [(1, 0, 1), (2, 1, 1), (3, 2, 1)]
 
 
-def test_closure_of_a_long_chain_stops_at_a_hundred_hops(spark):
+def test_closure_of_a_long_chain_stops_only_at_a_given_number_of_hops(spark):
     chain = spark.createDataFrame([(k, k - 1 if k else None, "file" if k == 0 else "field") for k in range(130)], "id long, parent_id long, kind string")
-    got = rows(G.ancestors(chain))
+    got = rows(G.ancestors(chain, 100))
     assert len(got) == sum(min(k, 100) for k in range(130)) and max(r[2] for r in got) == 100
+    got = rows(G.ancestors(chain))
+    assert len(got) == 130 * 129 // 2 and max(r[2] for r in got) == 129
+    assert {r[1] for r in rows(G.owning(chain))} == {0}
+
+
+def test_a_cycle_of_parents_is_an_error(spark):
+    loop = spark.createDataFrame([(0, 2, "field"), (1, 0, "field"), (2, 1, "field"), (3, None, "file")], "id long, parent_id long, kind string")
+    with pytest.raises(ValueError, match="own ancestor"):
+        G.ancestors(loop)
+    assert rows(G.owning(loop)) == [(0, None), (1, None), (2, None), (3, 3)]
+
+
+def test_running_sums(spark):
+    values = spark.createDataFrame([(k * 7 % 11, k) for k in range(11)], "k long, n long")
+    want, at = [], 5
+    for k, n in sorted((k * 7 % 11, k) for k in range(11)):
+        want.append((k, n, at))
+        at += n
+    assert rows(G.running_sum(values, ["k"], F.col("n"), "before", 5).select("k", "n", "before")) == sorted(want, key=repr)
+    assert rows(G.running_sum(values.limit(0), ["k"], F.col("n"), "before")) == []
+
+
+def test_held_edges(edges):
+    wanted = edges.sparkSession.createDataFrame([(0, 1, "calls"), (0, 1, "imports"), (9, 9, "calls"), (0, 1, "calls")], "source_id long, target_id long, edge_type string")
+    have = {r[:3] for r in rows(edges.select("source_id", "target_id", "edge_type"))}
+    assert rows(G.held_edges(edges, wanted)) == sorted([(*w, w in have) for w in [(0, 1, "calls"), (0, 1, "imports"), (9, 9, "calls"), (0, 1, "calls")]], key=repr)
 
 
 def test_levels_and_order(spark):
     items = spark.createDataFrame([(k, f"p{k}") for k in range(7)], "id long, path string")
     depends = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (2, 0), (3, 3), (4, 5), (5, 4), (6, 5), (6, 0)], "id long, on long")
     assert rows(G.topological_levels(items, depends)) == [(0, 0), (1, 1), (2, 2), (3, 0), (4, None), (5, None), (6, None)]
-    assert G.topological_order(items, depends) == [0, 1, 2, 3, 4, 5, 6]
 
 
 def test_phantoms(spark):
@@ -98,9 +124,8 @@ def test_interval_join_takes_the_first_range(spark):
     assert rows(got) == sorted(want, key=repr)
 
 
-def test_first_by_and_unique(spark):
+def test_unique(spark):
     t = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, v int")
-    assert rows(R.first_by(t, ["k"], ["v"])) == [("a", 1), ("b", 3)]
     assert rows(R.unique_only(t, ["k"], "v")) == [("b", 3)]
 
 
@@ -114,6 +139,13 @@ def test_graph_object(spark, tree, edges, tmp_path):
     assert g.find("b", "function", under=0).first()["id"] == 2 and g.find("x", under=0).isEmpty()
     assert g.with_edges(edges).edge_count() == 4
     assert [r["edge_id"] for r in g.out_edges(0).collect()] == [0, 1, 5]
-    g.save(str(tmp_path / "g"))
-    assert G.CodeGraph.open(spark, str(tmp_path / "g")).node_count() == 6
+    path = str(tmp_path / "g")
+    assert g.save(path) == 0
+    old = G.CodeGraph.open(spark, path)
+    assert old.node_count() == 6 and G.CodeGraph(old.nodes.where("id < 3"), old.edges).save(path) == 1
+    assert (old.node_count(), G.CodeGraph.open(spark, path).node_count(), G.CodeGraph.open(spark, path, 0).node_count()) == (6, 3, 6)
+    G.CodeGraph.prune(spark, path)
+    assert G.CodeGraph.generations(spark, path) == [1]
+    with pytest.raises(FileNotFoundError):
+        G.CodeGraph.open(spark, path, 0)
     g.release()
