@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Literal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.checkpoints import cut, discard
@@ -218,21 +218,26 @@ def topological_levels(items: DataFrame, depends: DataFrame) -> DataFrame:
     """(id, level): 0 without dependencies, else one more than the highest of those; null on or behind a cycle.
 
     depends: (id, on).  Repeats and self-dependencies count for nothing.  Each round takes the items that are free,
-    and lowers the count of open dependencies of those that depend on them; one table is written, of what is left.
+    and lowers the count of open dependencies of those that depend on them; one table is written, of what is left, and
+    how many are free is counted as it is written.
     """
+    def written(df: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        table = cut(df.observe(seen, F.count_if(F.col("need") == 0).alias("free")))
+        return table, seen.get.get("free") or 0
+
     ids = items.select("id").distinct()
     links = depends.where("id <> on").select("id", "on").distinct()
     links = cut(links.join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "on"), "on", "left_semi").select("id", "on"))
     need = links.groupBy("id").agg(F.count("*").alias("need"))
-    left = cut(ids.join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")))
-    tables, level = [left], 0
-    while not left.where("need = 0").isEmpty():
+    left, free_now = written(ids.join(need, "id", "left").select("id", F.coalesce("need", F.lit(0)).alias("need")))
+    tables = [left]
+    while free_now:
         free = left.where("need = 0").select(F.col("id").alias("on"))
         met = links.join(free, "on").groupBy("id").agg(F.count("*").alias("met"))
         rest = left.where("need > 0").join(met, "id", "left")
-        left = cut(rest.select("id", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")))
+        left, free_now = written(rest.select("id", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")))
         tables.append(left)
-        level += 1
     done = [t.where("need = 0").select("id", F.lit(k).alias("level")) for k, t in enumerate(tables[:-1])]
     out = cut(reduce(DataFrame.unionAll, done, left.select("id", F.lit(None).cast("int").alias("level"))))
     for table in (links, *tables):
