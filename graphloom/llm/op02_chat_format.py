@@ -11,8 +11,8 @@ Cost at scale: one shuffle, of the formatted messages by conversation.
 
 Defined results.  Messages are ordered by turn (null first), then role, then text; messages that repeat stay.
 A null content, or a part of unknown kind, is left out; a null text, ref or number counts as empty, "" or 0,
-and an attachment expands to at least one token.  A null role is "unknown".  Messages without conv_id form one
-conversation.  A conversation is one row, so its messages must fit one; very long texts are passed on whole.  Empty
+and an attachment expands to at least one token.  A null role is "unknown".  A message without conv_id is a
+conversation of its own.  A conversation is one row, so its messages must fit one; very long texts are passed on whole.  Empty
 table: empty result.  Other columns are not read.
 """
 
@@ -70,7 +70,8 @@ def format_messages(messages: DataFrame, visitor: Visitor | None = None) -> Data
 
 def format_chats(messages: DataFrame, visitor: Visitor | None = None) -> DataFrame:
     """(conv_id, prompt, attachments): attachments are struct(ordinal, kind, ref, tokens), ordinals from 0."""
-    one = format_messages(messages, visitor).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "attachments"))).alias("m"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("_alone")
+    one = format_messages(messages, visitor).groupBy("conv_id", alone).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "attachments"))).alias("m"))
     prompt = F.array_join(F.transform("m", lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"], F.lit("<|end|>\n"))), "")
     held = F.transform(F.flatten(F.transform("m", lambda x: x["attachments"])), lambda x, i: F.struct(i.alias("ordinal"), x["kind"].alias("kind"), x["ref"].alias("ref"), x["tokens"].alias("tokens")))
     return one.select("conv_id", prompt.alias("prompt"), held.alias("attachments"))
@@ -97,18 +98,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH m AS (
-  SELECT conv_id, turn, CASE WHEN role IN ('image', 'audio', 'document', 'end') THEN '_' || role ELSE replace(coalesce(role, 'unknown'), '<|', '<\|') END AS role, replace(coalesce(text, ''), '<|', '<\|') AS text, conv_id * 7 + turn * 3 AS n, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS name FROM conversations
+  SELECT conv_id, turn, CASE WHEN role IN ('image', 'audio', 'document', 'end') THEN '_' || role ELSE replace(coalesce(role, 'unknown'), '<|', '<\|') END AS role, replace(coalesce(text, ''), '<|', '<\|') AS text, conv_id * 7 + turn * 3 AS n, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS name,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone
+  FROM conversations
 ), p AS (
   SELECT *, 0 AS k, '<|image|>' AS body, 'img/' || name || '.png' AS ref, CAST(greatest(ceil((n % 900 + 100) / 28.0) * ceil((n % 700 + 60) / 28.0), 1) AS BIGINT) AS tokens FROM m WHERE n % 5 = 0
   UNION ALL SELECT *, 1, text, NULL, NULL FROM m
   UNION ALL SELECT *, 2, '<|audio|>', 'snd/' || name || '.wav', CAST(greatest(ceil((n % 60000 + 1) / 40.0), 1) AS BIGINT) FROM m WHERE n % 7 = 0
   UNION ALL SELECT *, 3, '<|document|>', 'doc/' || name || '.pdf', CAST(greatest((n % 30) * 512, 1) AS BIGINT) FROM m WHERE n % 11 = 0
 ), message AS (
-  SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || string_agg(body, chr(10) ORDER BY k) || '<|end|>' || chr(10) AS body,
+  SELECT conv_id, alone, turn, role, '<|' || role || '|>' || chr(10) || string_agg(body, chr(10) ORDER BY k) || '<|end|>' || chr(10) AS body,
     string_agg(ref, ',' ORDER BY k) AS refs, string_agg(CAST(tokens AS VARCHAR), ',' ORDER BY k) AS tokens, count(tokens) AS n, coalesce(sum(tokens), 0) AS total
-  FROM p GROUP BY conv_id, turn, role, text
+  FROM p GROUP BY conv_id, alone, turn, role, text
 )
 SELECT conv_id, string_agg(body, '' ORDER BY turn, role, body) AS prompt, CAST(sum(n) AS BIGINT) AS n_attachments, coalesce(string_agg(refs, ',' ORDER BY turn, role, body), '') AS refs,
   coalesce(string_agg(tokens, ',' ORDER BY turn, role, body), '') AS tokens, CAST(sum(total) AS BIGINT) AS total_tokens
-FROM message GROUP BY conv_id
+FROM message GROUP BY conv_id, alone
 """

@@ -26,6 +26,13 @@ def test_awkward_rows(spark):
     assert op.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_messages_without_conversation_stand_alone(spark):
+    text = lambda t: [("text", t, None, None, None, None, None)]
+    rows = [(None, 0, "user", text("a"), "x", 0, 0), (None, 0, "user", text("a"), "x", 0, 0), (None, 1, "user", text("b"), "x", 0, 0), (1, 0, "user", text("c"), "x", 0, 0), (1, 1, "user", text("d"), "x", 0, 0)]
+    got = sorted((r["conv_id"] or 0, r["prompt"]) for r in op.format_chats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, "<|user|>\na<|end|>\n"), (0, "<|user|>\na<|end|>\n"), (0, "<|user|>\nb<|end|>\n"), (1, "<|user|>\nc<|end|>\n<|user|>\nd<|end|>\n")]
+
+
 def test_a_visitor_can_be_replaced(spark):
     from pyspark.sql import functions as F
 
@@ -57,7 +64,7 @@ def test_texts_and_roles_that_look_like_placeholders(spark):
 def test_sql_escapes_alike(spark, tmp_path):
     import duckdb
 
-    rows = [(1, 0, "end", "a <|image|> b"), (1, 1, None, None), (5, 0, "us<|er", "<<||"), (5, 1, "user", "\\<|")]
+    rows = [(1, 0, "end", "a <|image|> b"), (1, 1, None, None), (5, 0, "us<|er", "<<||"), (5, 1, "user", "\\<|"), (None, 0, "user", "x"), (None, 1, "user", "y"), (None, 1, "user", "y")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = sorted(map(tuple, op.query(spark, str(tmp_path)).collect()))
-    assert got == sorted(duckdb.sql(op.SQL.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall())
+    got = sorted(map(tuple, op.query(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(duckdb.sql(op.SQL.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall(), key=repr)
