@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,14 +29,44 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+        out._written_to = path
+    return out
+
+
+class scratch:  # noqa: N801
+    """Deletes, at its end, the tables that cut() wrote inside it, but for those kept."""
+
+    def __enter__(self) -> scratch:
+        self.kept: set[str] = set()
+        _SCRATCH.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, which cut() returned; an outer scratch has it from now on."""
+        self.kept.add(df._written_to)
+        self.spark = df.sparkSession
+        return df
+
+    def __exit__(self, *_) -> None:
+        written = _SCRATCH.pop()
+        if _SCRATCH:
+            _SCRATCH[-1] += [p for p in written if p in self.kept]
+        for p in written if self.kept else ():
+            if p not in self.kept:
+                _delete(self.spark, p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table that cut() wrote, once nothing reads it any more."""
-    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
-    root = f"{shared_dir(spark)}/graphloom/"
+    root = f"{shared_dir(df.sparkSession)}/graphloom/"
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
         if root.removeprefix("file://") in parent:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, parent)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.checkpoints import cut
+from graphloom.checkpoints import cut, discard, scratch
 from graphloom.functions import text as T
 from graphloom.languages import by_name
 from graphloom.logs import log
@@ -271,15 +271,24 @@ def external_symbols(nodes: DataFrame, parsed: DataFrame, order: DataFrame, firs
 
 def build(files: DataFrame, parity: bool = False) -> CodeGraph:
     """The graph of scanned files (scan_directory's rows)."""
-    return graph_of(cut(parse_files(files.where("readable"))), parity)
+    parsed = cut(parse_files(files.where("readable")))
+    graph = graph_of(parsed, parity)
+    discard(parsed)
+    return graph
 
 
 def graph_of(parsed: DataFrame, parity: bool = False) -> CodeGraph:
     """The graph of parsed files.
 
     With parity, a call or type use counts only if its target's file comes no later in the order of files, as
-    when files are resolved one after the other.
+    when files are resolved one after the other.  Of the tables written on the way, nodes and edges stay.
     """
+    with scratch() as tables:
+        graph = _graph_of(parsed, parity)
+        return CodeGraph(tables.keep(graph.nodes), tables.keep(graph.edges))
+
+
+def _graph_of(parsed: DataFrame, parity: bool) -> CodeGraph:
     order = file_order(parsed, parity)
     each = parsed.join(order, "rel_path")
     flat = each.select("rel_path", "language", "content_hash", "file_ord", "base", F.explode("nodes").alias("d"))

@@ -1,9 +1,12 @@
 """A second language, registered for the test alone."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import languages
+from graphloom.checkpoints import shared_dir
 from graphloom.plans.index import index_directory, index_texts
 from graphloom.sources.scan import build_config
 from graphloom.sources.zig import Decl
@@ -67,6 +70,14 @@ def test_a_registered_language_is_indexed(spark, tmp_path, toy):
     assert build_config(spark, str(tmp_path)) == ["one", "two"]
 
 
+def test_only_the_graph_stays_of_the_tables_written(spark):
+    folder = f"{shared_dir(spark).removeprefix('file://')}/graphloom/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    g = index_texts(spark, {"a.zig": 'const b = @import("b.zig");\npub fn f() void {\n    b.g();\n}\n', "b.zig": "pub fn g() void {}\n"})
+    assert len(set(os.listdir(folder)) - before) == 2
+    assert (g.node_count(), g.edge_count()) == (5, 2)
+
+
 def test_a_manifest_is_read(spark, tmp_path):
     assert build_config(spark, str(tmp_path)) == []
     (tmp_path / "build.zig.zon").write_text('.{ .dependencies = .{ .one = .{ .url = "x" }, .@"two-b" = .{} } }')
