@@ -151,7 +151,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = S
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     got = sample(docs, labels, rows)
-    return Model(got["_text"].combine_chunks(), got["_q"].to_numpy(), got["_t"].to_numpy())
+    model = Model(got["_text"].combine_chunks(), got["_q"].to_numpy(), got["_t"].to_numpy())
+    del got
+    pa.default_memory_pool().release_unused()  # the driver has other work to do
+    return model
 
 
 def keep(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
