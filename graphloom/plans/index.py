@@ -30,6 +30,7 @@ _NODE = "struct<local:int,parent:int,name:string,kind:string,line_start:int,line
 _EVENT = "struct<caller:int,kind:string,ord:int,name:string,chain:array<string>,extra:int>"
 _STD = "struct<alias:string,chain:array<string>,line:int>"
 PARSED = f"rel_path string, language string, content_hash binary, nodes array<{_NODE}>, events array<{_EVENT}>, std array<{_STD}>, imports array<string>"
+FILES_A_TASK = 500
 FLAGS = ("is_comptime", "is_mutable", "is_inline", "is_extern", "is_packed", "comptime_conditional")
 
 
@@ -40,8 +41,15 @@ class IndexResult:
     files_errored: int
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """files in parts of about FILES_A_TASK by path, however few parts or bytes their table has: parsing takes far longer than reading."""
+    n = files.count()
+    return files.repartition(max(1, min(n, max(files.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_A_TASK)))), "rel_path")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """PARSED: a row for each file, with its declarations, events, imports and names of the standard library."""
+    files = spread(files)
     spark, support = files.sparkSession, by_name()
     schema = spark.createDataFrame([], PARSED)
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,12 +1,22 @@
 """That work is spread and that nothing large goes through the driver, however small the tables look to Spark."""
 
 from graphloom import checkpoints
+from graphloom.plans import index
+from graphloom.sources.scan import sources_of
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_of_a_table_in_one_part_are_parsed_in_many(spark, monkeypatch):
+    monkeypatch.setattr(index, "FILES_A_TASK", 5)
+    texts = spark.createDataFrame([(f"d/f{k}.zig", f"pub fn f{k}() void {{}}\n") for k in range(60)], "rel_path string, content string").coalesce(1)
+    parsed = index.parse_files(sources_of(texts))
+    assert parsed.rdd.getNumPartitions() == 12 and parsed.count() == 60
+    assert index.parse_files(sources_of(texts.limit(2))).rdd.getNumPartitions() == 2 and index.parse_files(sources_of(texts.limit(0))).count() == 0
+
+
 def test_a_written_table_of_many_rows_is_not_broadcast(spark, monkeypatch):
     many = spark.range(1000).selectExpr("id", "'x' as t")
     assert "BroadcastHashJoin" in plan(spark.range(500_000).join(checkpoints.cut(many), "id"))
