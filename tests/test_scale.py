@@ -27,3 +27,27 @@ def test_a_written_table_of_many_rows_is_not_broadcast(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan(spark.range(500_000).join(few, "id"))
     nested = checkpoints.cut(many.limit(100).selectExpr("id", "array(named_struct('a', id)) as s"))
     assert "SortMergeJoin" in plan(spark.range(500_000).join(nested, "id"))
+
+
+def test_a_binary_file_is_written_by_tasks_in_the_order_of_ids(spark, monkeypatch, tmp_path):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from graphloom.schemas import full_nodes
+    from graphloom.sources import binary
+
+    def refused(*_, **__):
+        raise AssertionError("rows on the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    monkeypatch.setattr(binary, "CHUNK", 7)
+    nodes = full_nodes(spark.range(100).selectExpr("99 - id as id", "concat('n', (99 - id) % 40) as name", "'field' as kind", "'a.zig' as file_path")).repartition(5)
+    edges = spark.range(100).selectExpr("500 - id as edge_id", "id as source_id", "99 - id as target_id", "'calls' as edge_type", "'lsp' as source").repartition(3)
+    path = tmp_path / "g.bin"
+    binary.save(spark, nodes, edges, str(path))
+    h, raw = binary.header(str(path)), path.read_bytes()
+    assert raw[h.string_at :].decode() == "n0a.zig" + "".join(f"n{k}" for k in range(1, 40))
+    assert [int.from_bytes(raw[h.node_at + 96 * k :][:8], "little") for k in range(100)] == list(range(100))
+    assert [int.from_bytes(raw[h.edge_at + 24 * k :][:8], "little") for k in range(100)] == list(range(99, -1, -1))
+    g = binary.load(spark, str(path))
+    assert sorted((r["id"], r["name"], r["file_path"]) for r in g.nodes.collect()) == [(k, f"n{k % 40}", "a.zig") for k in range(100)] and g.edge_count() == 100
+    assert sorted(r["id"] for r in spark.read.format("codegraph_v1").option("table", "ids").load(str(path)).collect()) == list(range(100))
