@@ -47,8 +47,23 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, NODES)
 
 
-def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, RAW_EDGES)
+#: Rows to a task where tables are large.
+ROWS_A_PART = 1 << 20
+
+
+def parts_of(spark: SparkSession, sf_dir: str) -> int | None:
+    """Into how many parts lines of orders are to go; None where Spark's own parts are small enough.  Their number is in the file's footer."""
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    return None if n < ROWS_A_PART * spark.sparkContext.defaultParallelism else -(-n // ROWS_A_PART)
+
+
+def raw_edges(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """With ``parts``, orders and their lines meet in so many."""
+    if parts is None:
+        return sql(spark, sf_dir, RAW_EDGES)
+    table = lambda name, key: spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(parts, key)
+    text = RAW_EDGES.replace("{lineitem} JOIN {orders}", "{lines} JOIN {orders}")
+    return sql(spark, sf_dir, text, lines=table("lineitem", "l_orderkey"), orders=table("orders", "o_orderkey"))
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +82,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from graphloom.operators.graph import dedup_edges
 
-    return dedup_edges(raw_edges(spark, sf_dir), "ord").withColumn("edge_id", F.expr(EDGE_ID)).drop("ord")
+    parts = parts_of(spark, sf_dir)
+    return dedup_edges(raw_edges(spark, sf_dir, parts), "ord", parts and 2 * parts).withColumn("edge_id", F.expr(EDGE_ID)).drop("ord")
 
 
 #: 2 bits of the type and 30 of each end's key, which together are unique.

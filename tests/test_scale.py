@@ -51,3 +51,26 @@ def test_a_binary_file_is_written_by_tasks_in_the_order_of_ids(spark, monkeypatc
     g = binary.load(spark, str(path))
     assert sorted((r["id"], r["name"], r["file_path"]) for r in g.nodes.collect()) == [(k, f"n{k % 40}", "a.zig") for k in range(100)] and g.edge_count() == 100
     assert sorted(r["id"] for r in spark.read.format("codegraph_v1").option("table", "ids").load(str(path)).collect()) == list(range(100))
+
+
+def test_degrees_take_no_join_and_edges_go_to_as_many_tasks_as_are_said(spark):
+    from graphloom.operators import graph as G
+
+    nodes = spark.createDataFrame([(0,), (1,), (7,)], "id long")
+    edges = spark.createDataFrame([(0, 1, "calls", 2, "b"), (0, 1, "calls", 1, "a"), (1, 9, "calls", 3, "c"), (1, 1, "calls", 0, "d")], "source_id long, target_id long, edge_type string, edge_id long, source string")
+    got = G.degrees(nodes, edges)
+    assert "Join" not in plan(got) and sorted(map(tuple, got.collect())) == [(0, 2, 0), (1, 2, 3), (7, 0, 0)]
+    one = G.dedup_edges(edges, parts=13)
+    assert one.rdd.getNumPartitions() == 13 and sorted(r["source"] for r in one.collect()) == sorted(r["source"] for r in G.dedup_edges(edges).collect()) == ["a", "c"]
+
+
+def test_large_tables_meet_in_parts_of_few_rows(spark, monkeypatch):
+    from graphloom.plans import adapters as A
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, A.edges(spark, d).collect()))
+    assert A.parts_of(spark, d) is None
+    monkeypatch.setattr(A, "ROWS_A_PART", 500)
+    n = A.parts_of(spark, d)
+    assert n == -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 500) and A.edges(spark, d).rdd.getNumPartitions() == 2 * n
+    assert sorted(map(tuple, A.edges(spark, d).collect())) == want
