@@ -201,12 +201,16 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def cross_summary(edges: DataFrame, owners: DataFrame, names: DataFrame) -> DataFrame:
-    """(src_file, tgt_file, edge_type, n) of edges whose ends have different owners; no owner is ``<ext>``."""
+def cross_summary(edges: DataFrame, owners: DataFrame, names: DataFrame, parts: int | None = None) -> DataFrame:
+    """(src_file, tgt_file, edge_type, n) of edges whose ends have different owners; no owner is ``<ext>``.
+
+    With ``parts``, edges meet their ends' owners in so many tasks.
+    """
+    split = lambda df, key: df if parts is None else df.repartition(parts, key)
     of = owners.join(names.select(F.col("id").alias("owner"), F.coalesce("file_path", "name").alias("_f")), "owner", "left").select("id", "owner", F.coalesce("_f", F.lit("<ext>")).alias("f"))
     s = of.select(F.col("id").alias("source_id"), F.col("owner").alias("so"), F.col("f").alias("src_file"))
     t = of.select(F.col("id").alias("target_id"), F.col("owner").alias("to"), F.col("f").alias("tgt_file"))
-    return edges.join(s, "source_id").join(t, "target_id").where("not (so <=> to)").groupBy("src_file", "tgt_file", "edge_type").agg(F.count("*").alias("n"))
+    return split(split(edges, "source_id").join(s, "source_id"), "target_id").join(t, "target_id").where("not (so <=> to)").groupBy("src_file", "tgt_file", "edge_type").agg(F.count("*").alias("n"))
 
 
 def cross_summary_text(summary: DataFrame) -> DataFrame:

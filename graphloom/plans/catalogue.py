@@ -179,7 +179,8 @@ _SUMMARY = _OWNER + ", f AS (SELECT o.id, o.owner, coalesce(n.name, '<ext>') AS
 @query(_SUMMARY + " SELECT src_file, tgt_file, edge_type, n FROM s")
 def cross_file_summary(spark, d):
     n = A.nodes(spark, d)
-    return G.cross_summary(A.edges(spark, d), G.owning(n), n)
+    parts = A.parts_of(spark, d)
+    return G.cross_summary(A.edges(spark, d), G.owning(n), n, parts and 2 * parts)
 
 
 @query(_SUMMARY + " SELECT src_file, tgt_file, string_agg(edge_type || '(' || n || ')', ',' ORDER BY CASE edge_type WHEN 'calls' THEN 0 WHEN 'imports' THEN 1 ELSE 2 END) AS edges FROM s GROUP BY 1, 2")

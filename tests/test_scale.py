@@ -74,3 +74,13 @@ def test_large_tables_meet_in_parts_of_few_rows(spark, monkeypatch):
     n = A.parts_of(spark, d)
     assert n == -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 500) and A.edges(spark, d).rdd.getNumPartitions() == 2 * n
     assert sorted(map(tuple, A.edges(spark, d).collect())) == want
+
+
+def test_cross_summary_in_parts(spark):
+    from graphloom.operators import graph as G
+
+    nodes = spark.createDataFrame([(0, "a", "a"), (1, "b", "b")], "id long, name string, file_path string")
+    owners = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, None)], "id long, owner long")
+    edges = spark.createDataFrame([(0, 1, "calls"), (0, 2, "calls"), (1, 2, "calls"), (2, 3, "uses_type")], "source_id long, target_id long, edge_type string")
+    got = G.cross_summary(edges, owners, nodes, parts=7)
+    assert sorted(map(tuple, got.collect())) == [("a", "b", "calls", 2), ("b", "<ext>", "uses_type", 1)] and ", 7), REPARTITION_BY_NUM" in plan(got)
