@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.checkpoints import cut
 from graphloom.functions import text as T
 from graphloom.operators import graph as G
 from graphloom.plans import sources_of_tables as S
@@ -88,7 +89,7 @@ def _labels(spark, d) -> DataFrame:
         roots = g.nodes.where("kind = 'file' or parent_id is null").select(F.col("id").alias("root"), F.coalesce("file_path", "name").alias("at"))
         below = G.qualified_paths(g.nodes, roots.select(F.col("root").alias("id"))).join(roots, "root")
         own = roots.select(F.col("root").alias("id"), F.col("at").alias("label"))
-        _LABELS[id(g)] = S.cut(own.unionByName(below.select("id", F.concat("at", F.lit(":"), "path").alias("label"))))
+        _LABELS[id(g)] = cut(own.unionByName(below.select("id", F.concat("at", F.lit(":"), "path").alias("label"))))
     return _LABELS[id(g)]
 
 

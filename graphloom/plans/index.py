@@ -41,10 +41,10 @@ class IndexResult:
     files_errored: int
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """files in parts of about FILES_A_TASK by path, however few parts or bytes their table has: parsing takes far longer than reading."""
+def spread(files: DataFrame, key: str = "rel_path") -> DataFrame:
+    """files in parts of about FILES_A_TASK by key, however few parts or bytes their table has: parsing takes far longer than reading."""
     n = files.count()
-    return files.repartition(max(1, min(n, max(files.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_A_TASK)))), "rel_path")
+    return files.repartition(max(1, min(n, max(files.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_A_TASK)))), key)
 
 
 def parse_files(files: DataFrame) -> DataFrame:

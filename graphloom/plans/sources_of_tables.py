@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.checkpoints import cut
 from graphloom.operators.graph import CodeGraph
 
 TEXT = """//! File @k of the suppliers.
@@ -67,14 +66,17 @@ _GRAPHS: dict[tuple[str, str], CodeGraph] = {}
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rel_path, content)"""
+    """(rel_path, content), written and hashed in many tasks however few parts the table has."""
+    from graphloom.plans.index import spread
+
     k = F.col("s_suppkey").cast("long")
     j = F.floor(k / 2)
     text = F.lit(TEXT)
     for mark, value in (("@k", k), ("@m", j % 5), ("@j", j), ("@s", k % 50)):
         text = F.replace(text, F.lit(mark), value.cast("string"))
     path = F.concat(F.lit("src/d"), (k % 5).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".zig"))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(path.alias("rel_path"), text.alias("content"))
+    keys = spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"), "s_suppkey")
+    return keys.select(path.alias("rel_path"), text.alias("content"))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
@@ -84,5 +86,5 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPHS:
-        _GRAPHS[key] = build(sources_of(cut(files(spark, sf_dir))))
+        _GRAPHS[key] = build(sources_of(files(spark, sf_dir)))
     return _GRAPHS[key]

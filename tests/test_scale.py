@@ -84,3 +84,14 @@ def test_cross_summary_in_parts(spark):
     edges = spark.createDataFrame([(0, 1, "calls"), (0, 2, "calls"), (1, 2, "calls"), (2, 3, "uses_type")], "source_id long, target_id long, edge_type string")
     got = G.cross_summary(edges, owners, nodes, parts=7)
     assert sorted(map(tuple, got.collect())) == [("a", "b", "calls", 2), ("b", "<ext>", "uses_type", 1)] and ", 7), REPARTITION_BY_NUM" in plan(got)
+
+
+def test_texts_of_a_table_in_one_part_are_made_in_many_tasks(spark, monkeypatch, tmp_path):
+    from graphloom.plans import sources_of_tables as S
+
+    monkeypatch.setattr(index, "FILES_A_TASK", 5)
+    spark.range(60).selectExpr("id as s_suppkey", "'x' as s_name").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    files = S.files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 12
+    got = {r["rel_path"]: r["content"] for r in files.collect()}
+    assert len(got) == 60 and "pub fn run7()" in got["src/d2/f7.zig"] and '"../d3/f3.zig"' in got["src/d2/f7.zig"]
