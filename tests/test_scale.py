@@ -95,3 +95,17 @@ def test_texts_of_a_table_in_one_part_are_made_in_many_tasks(spark, monkeypatch,
     assert files.rdd.getNumPartitions() == 12
     got = {r["rel_path"]: r["content"] for r in files.collect()}
     assert len(got) == 60 and "pub fn run7()" in got["src/d2/f7.zig"] and '"../d3/f3.zig"' in got["src/d2/f7.zig"]
+
+
+def test_ids_of_a_style_are_joined_in_runs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphloom.render import ids, mermaid
+
+    nodes = spark.createDataFrame([(0, None, "a.zig", "file", "a.zig", 1)] + [(k, 0, f"f{k}", "function", None, k) for k in range(1, 30)], "id long, parent_id long, name string, kind string, file_path string, line_start int").withColumn("external", F.lit(None).cast("struct<kind:string,version:string>"))
+    a = ids.assign(nodes)
+    want = "    class " + ",".join(f"fn_{k}" for k in range(1, 30)) + " fn_style"
+    for n in (4, 7, 8192):
+        monkeypatch.setattr(mermaid, "IDS_A_RUN", n)
+        assert [r["line"] for r in mermaid.class_rows(a).collect()] == [want]
+    assert plan(mermaid.class_rows(a)).count("collect_list") > plan(a.ids.groupBy("prefix").agg(F.collect_list("num"))).count("collect_list")
